@@ -6,10 +6,10 @@ maximum, and are equal about as often as the sets overlap. Bands of registers ar
 pairs of candidates are estimated from their registers by likelihood and, if that leaves a chance, confirmed on the full
 sets. 40 bands of 6 registers miss a pair of similarity 0.8 in 5 of a million cases, one of 0.85 in 4 of a billion.
 
-Copies (equal sets) are one node. Inside a bucket, members are first compared with one of them; then a drawn member of
-each component with that of the first component; at last, whatever is still apart in a bucket is compared completely,
-except members that are already in one component: those need no pair. So a large group of near copies costs in
-proportion to its members, and no link between components is lost.
+Copies (equal sets) are one node. Inside a bucket, members are first compared with one of them, then a drawn member of
+each component with that of the first component. At last, whatever is still apart in a bucket is compared completely,
+in blocks of members: what is outside of the bucket's largest component against everything. Blocks give a row for two
+linked components, not for a pair of documents, so no list of pairs is made and no link between components is lost.
 
 Null or empty text, or no word: no shingle, linked with nothing. Null doc_id: linked with nothing, kept. Rows that
 repeat a doc_id are one document for links. Ties: the least doc_id names a component and is its document to keep.
@@ -146,6 +146,76 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, margin: float = 0
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long").distinct()
 
 
+def block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """A link (a, b) for each two components that are linked between left and right, lists of (component, set)."""
+    sets, n = [s for _, s in left + right], len(left)
+    shingle, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    times = np.bincount(place, minlength=len(shingle))
+    both = np.zeros((n, len(right)), np.float32)
+    # frequent shingles by matrix products, some thousands at a time; rare ones by their few pairs; single ones not at all
+    frequent = np.flatnonzero(times > 16)
+    column = np.full(len(shingle), -1)
+    column[frequent] = np.arange(len(frequent))
+    for at in range(0, len(frequent), 4096):
+        mine = (column[place] >= at) & (column[place] < at + 4096)
+        there = np.zeros((len(sets), min(4096, len(frequent) - at)), np.float32)
+        there[owner[mine], column[place[mine]] - at] = 1
+        both += there[:n] @ there[n:].T
+    rare = np.flatnonzero((times[place] > 1) & (times[place] <= 16))
+    rare = rare[np.argsort(place[rare], kind="stable")]
+    for gap in range(1, 16):
+        first, second = rare[:-gap], rare[gap:]
+        one = place[first] == place[second]
+        a, b = owner[first[one]], owner[second[one]]
+        across = (a < n) & (b >= n)  # owners ascend inside a shingle
+        np.add.at(both, (a[across], b[across] - n), 1)
+    size = np.array(list(map(len, sets)), np.float64)
+    name = np.array([c for c, _ in left + right])
+    linked = (100 * both >= percent * (size[:n, None] + size[None, n:] - both)) & (name[:n, None] != name[None, n:])
+    a, b = np.nonzero(linked)
+    pairs = np.unique(np.sort(np.stack([name[:n][a], name[n:][b]], axis=1), axis=1), axis=0)
+    return list(map(tuple, pairs.tolist()))
+
+
+def links_in_blocks(apart: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) between all components that meet in a bucket, from complete comparison of their members' full sets.
+
+    apart: key, id, component, of buckets with several components. In each bucket, what is outside of its largest
+    component is compared with everything, in blocks of about block by block members; a task holds one block, whatever
+    the bucket's size, and gives a row for each two components that it finds linked, not for each pair.
+    """
+    sized = stored(apart.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.max("count").alias("inside"), F.sum("count").alias("all")), "sized")
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    placed = apart.join(sized, "key").withColumn("out", F.col("component") != F.col("largest")).withColumn("outs", chunks(F.col("all") - F.col("inside"))).withColumn("ins", chunks(F.col("inside")))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))).cast("int")
+    spot = lambda l, r, side: F.struct(l.alias("l"), r.alias("r"), F.lit(side).alias("side"))
+    others = F.sequence(F.lit(0), F.col("outs") - 1)
+    # right blocks below zero are of the largest component
+    inside = F.transform(F.sequence(F.lit(1), F.col("ins")), lambda i: spot(F.col("own"), -i, 0))
+    outside = F.transform(F.filter(others, lambda x: x >= F.col("own")), lambda x: spot(F.col("own"), x, 0))
+    below = F.transform(F.filter(others, lambda x: x <= F.col("own")), lambda x: spot(x, F.col("own"), 1))
+    at_right = F.transform(others, lambda x: spot(x, -1 - F.col("own"), 1))
+    spread = placed.withColumn("own", own).select("key", "id", "component", F.explode(F.when(F.col("out"), F.concat(inside, outside, below)).otherwise(at_right)).alias("at"))
+    rows = spread.select("key", "at.*", "component", "id").join(sets.withColumnRenamed("doc_id", "id"), "id").select("key", "l", "r", "side", "component", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ended() -> pa.RecordBatch:
+            found = block_links(*group, percent) if all(group) else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        now, group = None, ([], [])
+        for batch in batches:
+            for key, l, r, side, component, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != (key, l, r):
+                    yield ended()
+                    now, group = (key, l, r), ([], [])
+                group[side].append((component, np.frombuffer(shingles, np.uint64)))
+        yield ended()
+
+    return rows.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r").mapInArrow(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, component (its least node) of each node of edges (a, b), by alternating large and small stars. Minima are
     written tables, so that a node with very many edges is a join that can be split, not one task."""
@@ -167,7 +237,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, draws: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, draws: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     signed = stored(signatures(docs, words), "signed")
     nodes = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "nodes")
@@ -214,11 +284,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, draws: i
             break
     apart = stored(labelled(), "apart")
     if not apart.isEmpty():
-        # every pair of a bucket that is not in one component has a side outside of the bucket's largest component
-        largest = stored(apart.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest")), "largest")
-        outside = apart.join(largest, "key").where("component <> largest").select("key", F.col("id").alias("x"), F.col("n").alias("m"), F.col("component").alias("other"), "largest")
-        cross = outside.join(apart, "key").where((F.col("component") != F.col("other")) & ((F.col("component") == F.col("largest")) | (F.col("x") < F.col("id"))) & sizes_fit)
-        compare(cross.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")))
+        crossing = stored(links_in_blocks(apart.select("key", "id", "component"), sets, percent), "crossing")
+        if not crossing.isEmpty():
+            label = components(crossing if links is None else links.unionByName(crossing))
 
     named = nodes.select("s1", "s2", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component"))
     return (
