@@ -46,17 +46,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 class Memo(dict):
-    """function's results by argument, for one Python worker. Bounded: it starts anew when it is full, and does not
-    keep results of long arguments."""
+    """function's results by argument, for one Python worker. Bounded: when it is full, its entries become the older
+    generation, which goes at the next time; what is asked for meanwhile moves over. Results of long arguments are not
+    kept."""
 
-    def __init__(self, function: Callable, entries: int = 400_000, longest: int = 80):
+    def __init__(self, function: Callable, entries: int = 250_000, longest: int = 80):
         super().__init__()
         self.function, self.entries, self.longest = function, entries, longest
+        self.older: dict = {}
 
     def __missing__(self, key):
-        value = self.function(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
         if len(key) <= self.longest:
             if len(self) >= self.entries:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value

@@ -16,33 +16,54 @@ from __future__ import annotations
 import functools
 import json
 import re
+import unicodedata
 import zlib
 from array import array
 from collections import deque
 
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lodestar.llm.bpe import byte_characters
 from lodestar.llm.common import Memo, map_texts, stored, texts
 
+# How vocabularies of this kind cut a lower-case text.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Before this character case and composition need no look at neighbours.
+LATIN_END = "\u0250"
 #: White space for Python's split that the vocabulary's pattern takes as symbols.
 ODD = re.compile("[\x1c-\x1f]")
 
 
 class WordBpe:
     """Ids of a lower-casing vocabulary with word ends, as little-endian unsigned 32-bit bytes. Its tokens never span
-    white space, so each distinct word is encoded once in a worker."""
+    white space, so each distinct word is encoded once in a worker. Words of Latin letters go straight to their pieces
+    (runs of letters, single digits, runs of signs), which repeat more than words do, and to the merging model; others
+    go through the library as a whole."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.shown, self.piece = self.tokenizer.model, byte_characters(), regex.compile(PIECE)
+        self.pieces = Memo(self._merge)
         with open(path, encoding="utf-8") as f:
             self.special = [t["content"] for t in json.load(f)["added_tokens"]]
-        self.words = Memo(self.whole)
+        self.words = Memo(self.word)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _merge(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize("".join([self.shown[b] for b in piece.encode()]))]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        if not word.isascii():
+            if max(word) >= LATIN_END:
+                return self.whole(word)
+            word = unicodedata.normalize("NFC", word)
+        return b"".join(map(self.pieces.__getitem__, self.piece.findall(word.lower())))
+
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special) or ODD.search(text):
             return self.whole(text)
