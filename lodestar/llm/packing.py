@@ -55,14 +55,17 @@ class WordBpe:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _merge(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize("".join([self.shown[b] for b in piece.encode()]))]).tobytes()
+        # visible ASCII stands for itself
+        shown = piece if piece.isascii() and piece.isprintable() else "".join([self.shown[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def word(self, word: str) -> bytes:
         if not word.isascii():
             if max(word) >= LATIN_END:
                 return self.whole(word)
             word = unicodedata.normalize("NFC", word)
-        return b"".join(map(self.pieces.__getitem__, self.piece.findall(word.lower())))
+        word = word.lower()
+        return self.pieces[word] if word.isalpha() else b"".join(map(self.pieces.__getitem__, self.piece.findall(word)))
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special) or ODD.search(text):
