@@ -24,27 +24,22 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import Memo, map_texts, texts
 
-TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
+WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
-BREAKS = frozenset(".!?\n")
 BUCKETS = 1 << 18
 
 
 def features(word: str) -> list[int]:
     """Hashed features of a lower-case word: itself and its first letters."""
-    return [crc32(b"w" + word.encode()) % BUCKETS] + [crc32(b"p" + word[:n].encode()) % BUCKETS for n in range(4, 8) if len(word) >= n]
+    return [crc32(b"w" + word.encode()) % BUCKETS] + [crc32(b"p" + word[:n].encode()) % BUCKETS for n in range(4, min(len(word), 7) + 1)]
 
 
-def distinct_in_sentences(tokens: list[str]) -> Iterator[str]:
-    """tokens without a word's repetitions in one sentence."""
-    seen: set[str] = set()
-    for t in tokens:
-        if t in BREAKS:
-            seen.clear()
-            yield t
-        elif t not in seen:
-            seen.add(t)
-            yield t
+def sentences(text: str) -> Iterator[dict[str, None]]:
+    """The distinct lower-case words of each sentence that has any, in order."""
+    for sentence in SENTENCE.findall(text.lower()):
+        words = dict.fromkeys(WORD.findall(sentence))
+        if words:
+            yield words
 
 
 class ToxicityModel:
@@ -55,21 +50,16 @@ class ToxicityModel:
         self.words = self._memo()
 
     def _memo(self) -> Memo:
-        return Memo(lambda w: float("nan") if w in BREAKS else float(self.weights[features(w)].sum()))
+        of = self.weights.tolist()  # single values of a list come faster than those of an array
+        return Memo(lambda w: sum([of[i] for i in features(w)]))
 
     def __reduce__(self):
         return ToxicityModel, (self.weights, self.bias)
 
     def logits(self, text: str) -> np.ndarray:
         """Of the sentences with words, in order."""
-        tokens = TOKEN.findall(text.lower())
-        if not tokens:
-            return np.zeros(0)
-        v = np.fromiter(map(self.words.__getitem__, distinct_in_sentences(tokens)), np.float64)
-        breaks = np.isnan(v)
-        starts = np.concatenate(([0], np.flatnonzero(breaks)))
-        words = np.add.reduceat((~breaks).astype(np.int64), starts)
-        return np.add.reduceat(np.where(breaks, 0.0, v), starts)[words > 0] + self.bias
+        of = self.words.__getitem__
+        return np.array([sum(map(of, words)) for words in sentences(text)], np.float64) + self.bias
 
     def score(self, text: str | None) -> float:
         return float(-np.expm1(-np.logaddexp(0, self.logits(text)).sum())) if text else 0.0
@@ -90,16 +80,10 @@ def fit(rows: list[tuple[str, int]], rounds: int = 160, rate: float = 0.1, decay
     index: dict[str, int] = {}
     word, sentence, bag = [], [], []
     for d, (text, _) in enumerate(rows):
-        fresh = True
-        for t in distinct_in_sentences(TOKEN.findall((text or "").lower())):
-            if t in BREAKS:
-                fresh = True
-                continue
-            if fresh:
-                bag.append(d)
-                fresh = False
-            word.append(index.setdefault(t, len(index)))
-            sentence.append(len(bag) - 1)
+        for words in sentences(text or ""):
+            word += [index.setdefault(w, len(index)) for w in words]
+            sentence += [len(bag)] * len(words)
+            bag.append(d)
     word, sentence, bag = np.array(word, np.int64), np.array(sentence, np.int64), np.array(bag, np.int64)
     of = [features(w) for w in index]
     owner, feature = np.repeat(np.arange(len(of)), [len(x) for x in of]), np.concatenate([np.array(x) for x in of])
