@@ -14,6 +14,7 @@ document has several, the highest counts.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -78,32 +79,38 @@ def fit(rows: list[tuple[str, int]], rounds: int = 160, rate: float = 0.1, decay
     if not rows or len({y for _, y in rows}) < 2:
         return ToxicityModel(theta, bias)
     index: dict[str, int] = {}
-    word, sentence, bag = [], [], []
+    word, sentence, bag = array("i"), array("i"), array("i")  # four bytes an entry: the driver holds the whole sample
     for d, (text, _) in enumerate(rows):
         for words in sentences(text or ""):
-            word += [index.setdefault(w, len(index)) for w in words]
-            sentence += [len(bag)] * len(words)
+            word.extend([index.setdefault(w, len(index)) for w in words])
+            sentence.extend([len(bag)] * len(words))
             bag.append(d)
-    word, sentence, bag = np.array(word, np.int64), np.array(sentence, np.int64), np.array(bag, np.int64)
-    of = [features(w) for w in index]
-    owner, feature = np.repeat(np.arange(len(of)), [len(x) for x in of]), np.concatenate([np.array(x) for x in of])
+    word, sentence, bag = (np.frombuffer(x, np.intc) if x else np.zeros(0, np.intc) for x in (word, sentence, bag))
+    feature, count = array("i"), array("i")
+    for w in index:
+        own = features(w)
+        feature.extend(own)
+        count.append(len(own))
+    feature, n_words = np.array(feature, np.intc), len(count)
+    owner = np.repeat(np.arange(n_words, dtype=np.intc), np.array(count, np.intc))
     y = np.array([v for _, v in rows])
     pairs = np.unique(word * np.int64(len(rows)) + bag[sentence])  # distinct (word, document)
     toxic = y[pairs % len(rows)] == 1
-    inside, outside = (np.bincount(feature, weights=np.bincount(pairs[x] // len(rows), minlength=len(of))[owner], minlength=BUCKETS) for x in (toxic, ~toxic))
+    inside, outside = (np.bincount(feature, weights=np.bincount(pairs[x] // len(rows), minlength=n_words)[owner], minlength=BUCKETS) for x in (toxic, ~toxic))
     known = inside + outside >= seen
     # descent starts at the smoothed log-odds of features that speak for toxicity
     odds = np.log((inside + 0.5) / ((y == 1).sum() + 1)) - np.log((outside + 0.5) / ((y == 0).sum() + 1))
+    del pairs, toxic
     importance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     w = known * start * np.maximum(0, odds - 1)
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     for step in range(1, rounds + 1):
-        of_word = np.bincount(owner, weights=w[feature], minlength=len(of))
+        of_word = np.bincount(owner, weights=w[feature], minlength=n_words)
         z = np.bincount(sentence, weights=of_word[word], minlength=len(bag)) + bias
         a = np.maximum(np.bincount(bag, weights=np.logaddexp(0, z), minlength=len(rows)), 1e-9)
         slope = importance * np.where(y == 1, -np.exp(-a) / -np.expm1(-a), 1.0)  # of the loss by a document's sum
         by_sentence = slope[bag] / (1 + np.exp(-z))
-        by_word = np.bincount(word, weights=by_sentence[sentence], minlength=len(of))
+        by_word = np.bincount(word, weights=by_sentence[sentence], minlength=n_words)
         g = np.bincount(feature, weights=by_word[owner], minlength=BUCKETS) * known + decay * w
         gb = by_sentence.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
