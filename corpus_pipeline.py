@@ -14,17 +14,12 @@ from lodestar.llm import langid, neardup, packing, pii, toxicity
 from lodestar.llm.common import stored, table
 from lodestar.llm.queries import WORD_BPE
 
-#: A language is identified from this score on: the winner of two equal ones has 0.5, texts of one language mostly 0.8 and
-#: more. Below are texts that are like none of the languages; short or noisy ones of a known language stay.
-LEAST_LANGUAGE_SCORE = 0.2
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.accepted(docs, langid.train(docs), LEAST_LANGUAGE_SCORE)
+    return langid.accepted(docs, langid.train(docs), 0.0)  # by likeness to the sample; the score is high for unknown texts too
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,10 @@ kernel values by coefficients.
 The model is fitted on a bounded sample: about ``rows_by_language`` texts of each language, by a hash of the id, and the
 n-grams of those only go to the driver. ``und`` with score 0: null text, or no letter, or nothing learned. Score: the
 winner's regression value, moved from [-1, 1] to [0, 1]. Null doc_id: passed through. Repeated rows: each is scored.
+
+The score does not tell a text of none of the languages: without a common n-gram it is 0.5. What does is the share of the
+text's distinct trigrams that the landmarks of the winner have. ``accepted`` asks for half the median share of the
+sample's texts of that language, or for the share that all but a hundredth of them have if that is less.
 """
 
 from __future__ import annotations
@@ -63,34 +67,50 @@ def has_letter(text: str | None) -> bool:
 class LanguageModel:
     def __init__(self, languages: list[str], vocabulary: np.ndarray, landmarks: np.ndarray, coefficients: np.ndarray):
         self.languages, self.vocabulary, self.landmarks, self.coefficients = languages, vocabulary, landmarks, coefficients
+        #: by trigram of the vocabulary and language, if a landmark has it; by language, the least share of an accepted text
+        self.known, self.least_share = np.zeros((len(vocabulary), len(languages)), np.float32), np.zeros(len(languages))
 
-    def kernel(self, grams: list[np.ndarray]) -> np.ndarray:
-        """Kernel values of texts (as n-grams) and landmarks."""
+    def presence(self, grams: list[np.ndarray]) -> np.ndarray:
+        """By text (as n-grams) and n-gram of the vocabulary, 1 or 0."""
         place = np.full(SPACE, -1, np.int32)
         place[self.vocabulary] = np.arange(len(self.vocabulary))
         present = np.zeros((len(grams), len(self.vocabulary)), np.float32)
         for i, g in enumerate(grams):
             at = place[g]
             present[i, at[at >= 0]] = 1
+        return present
+
+    def kernel(self, grams: list[np.ndarray], present: np.ndarray | None = None) -> np.ndarray:
+        """Kernel values of texts (as n-grams) and landmarks."""
+        present = self.presence(grams) if present is None else present
         return (present @ self.landmarks) / np.sqrt(np.maximum([len(g) for g in grams], 1))[:, None]
 
-    def scores(self, grams: list[np.ndarray]) -> np.ndarray:
-        return self.kernel(grams) @ self.coefficients
+    def shares(self, grams: list[np.ndarray], present: np.ndarray) -> np.ndarray:
+        """By text and language, the share of the text's trigrams that a landmark has."""
+        return (present @ self.known) / np.maximum([np.searchsorted(g, TRIGRAMS) for g in grams], 1)[:, None]
 
     def predict(self, batch: list[str | None]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = []
+        return [(y, s) for y, s, _ in self.judge(batch)]
+
+    def judge(self, batch: list[str | None]) -> list[tuple[str, float, bool]]:
+        """Language, score, and if the text is like those of the language."""
+        out: list[tuple[str, float, bool]] = []
         flags = np.zeros(SPACE, bool)
         for at in range(0, len(batch), 256):
             part = batch[at : at + 256]
             known = [has_letter(t) and bool(self.languages) for t in part]
-            found = iter(self.scores([n_grams(t, flags) for t, k in zip(part, known) if k])) if any(known) else iter(())
+            found = iter(())
+            if any(known):
+                grams = [n_grams(t, flags) for t, k in zip(part, known) if k]
+                present = self.presence(grams)
+                found = zip(self.kernel(grams, present) @ self.coefficients, self.shares(grams, present))
             for k in known:
                 if not k:
-                    out.append((UNDEFINED, 0.0))
+                    out.append((UNDEFINED, 0.0, False))
                     continue
-                values = next(found)
+                values, shares = next(found)
                 best = int(np.argmax(values))
-                out.append((self.languages[best], float(np.clip((values[best] + 1) / 2, 0, 1))))
+                out.append((self.languages[best], float(np.clip((values[best] + 1) / 2, 0, 1)), bool(shares[best] >= self.least_share[best])))
         return out
 
 
@@ -108,9 +128,22 @@ def solve(languages: list[str], labels: list[str], grams: list[np.ndarray], land
     target = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     weight = np.array([1 / labels.count(y) for y in labels])[:, None]  # languages count alike
     model.coefficients = np.linalg.solve(k.T @ (weight * k) + ridge * k[chosen] + 1e-9 * np.eye(len(chosen)), k.T @ (weight * target))
+    calibrate(model, labels, grams, chosen)
     return model
 
 
+def calibrate(model: LanguageModel, labels: list[str], grams: list[np.ndarray], chosen: list[int]) -> None:
+    """known and least_share; a landmark's own share is that of the trigrams of the language's other landmarks."""
+    trigram = model.vocabulary < TRIGRAMS
+    for j, y in enumerate(model.languages):
+        own = [i for i in chosen if labels[i] == y]
+        n = np.bincount(np.searchsorted(model.vocabulary, np.concatenate([grams[i] for i in own])), minlength=len(trigram))
+        model.known[:, j] = (n > 0) & trigram
+        others, twice = model.vocabulary[(n > 0) & trigram], model.vocabulary[(n > 1) & trigram]
+        shares = [np.isin(g[g < TRIGRAMS], twice if i in own else others, assume_unique=True).mean() for i, g in enumerate(grams) if labels[i] == y and (g < TRIGRAMS).any()]
+        model.least_share[j] = min(np.median(shares) / 2, np.quantile(shares, 0.01)) if shares else 0.0
+
+
 def train(rows: DataFrame, rows_by_language: int = 600, landmarks_by_language: int = 24, ridge: float = 1e-3) -> LanguageModel:
     """From (doc_id, text, lang), rows with null text or lang left out."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -141,14 +174,15 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
-    """The rows of docs, all columns, whose language is identified with a score of least or more."""
+    """The rows of docs, all columns, whose language is identified with a score of least or more and that are like the
+    sample's texts of that language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([y != UNDEFINED and s >= least for y, s in found], pa.bool_()))
+            found = shared.value.judge(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([y != UNDEFINED and s >= least and like for y, s, like in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

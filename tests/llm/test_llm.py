@@ -146,6 +146,21 @@ def test_language_edge_cases(docs, spark):
     assert {r["lang_pred"] for r in langid.predict(docs, empty).collect()} == {"und"}
 
 
+def test_texts_of_no_learned_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(langid.training_rows(docs))
+    rng = random.Random(8)
+    noise = [" ".join("".join(rng.choices(chars, k=rng.randint(2, 9))) for _ in range(n)) for chars in ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "абвгдежзиклмнопрст", "漢字文語言學日本") for n in (10, 100, 1000)]
+    foreign = ["kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw"]
+    strange = spark.createDataFrame([(i, t) for i, t in enumerate(noise + foreign)], "doc_id long, text string")
+    assert langid.accepted(strange, model, 0.0).count() == 0
+    held = [(r["doc_id"], r["text"]) for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    short = [(i, " ".join(t.split()[3:15])) for i, t in held if len(t.split()) > 15]
+    for real in (held, short):
+        kept = langid.accepted(spark.createDataFrame(real, "doc_id long, text string"), model, 0.0).count()
+        assert kept >= 0.98 * len(real)
+
+
 def brute_components(texts, words, percent):
     sets = {}
     for i, t in texts:
