@@ -4,7 +4,8 @@ One pattern finds entities: e-mail and IPv4 addresses, payment cards, phone and
 and names after a title. An entity's surrogate comes from a keyed hash of it, so it is the same wherever it occurs, and
 has its form: a digit for a digit, a letter of the same script and case for a letter, separators where they were, valid
 octets, a valid check digit where there was one, the title (with its gender) kept and a given name with the ending of
-that gender. Surrogates that meet each other or an entity of the corpus are drawn again, until all differ.
+that gender. Surrogates that meet each other or an entity of the corpus are drawn again, until all differ; where a form is
+so full that draws don't settle it, the form becomes wider.
 
 The corpus' distinct entities are grouped by surrogate to find such collisions. What was drawn again is a small table;
 it becomes a literal if it has few rows, and is joined by entity if not.
@@ -15,6 +16,8 @@ leftmost, then the first kind in the list.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +44,10 @@ ENTITY = "|".join(KINDS.values())
 HINT = rf"[0-9@]|{MALE}|{FEMALE}|(?:ghp|gho|ghs|sk|pk|rk|xox)[a-z]?[_\-]"
 LOWER, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 CONSONANTS, VOWELS = "bdfgklmnprstvz", "aeiou"
+#: Draws in the entity's own form; each one after them has a character more.
 DRAWS = 12
+#: Country codes of telephones.
+COUNTRY = r"1|7|2[07]|2[1-69]\d|3[0-469]|3[578]\d|4[013-9]|42\d|5[1-8]|5[09]\d|6[0-6]|6[789]\d|8[1246]|8[0578]\d|9[0-58]|9[679]\d"
 LITERAL_ROWS = 1000
 
 
@@ -110,7 +116,7 @@ def surrogate(entity: Column, key: str, draw: Column) -> Column:
     given, family = F.when(F.size(words) > 2, F.get(words, F.lit(1))), F.element_at(words, -1)
     name = F.concat_ws(" ", F.get(words, F.lit(0)), F.when(given.isNotNull(), name_part(given, seeded(given), female, True)), name_part(family, seeded(family), female, False))
     end = F.regexp_extract(entity, r"\.[A-Za-z]+$", 0)
-    head = F.regexp_extract(entity, r"^\+\d{1,3}", 0)
+    head = F.regexp_extract(entity, rf"^\+(?:{COUNTRY})", 0)
     return (
         F.when(kind == "email", F.concat(in_form(F.substring(entity, F.lit(1), F.length(entity) - F.length(end)), stream), end))
         .when(kind == "name", name)
@@ -123,6 +129,20 @@ def surrogate(entity: Column, key: str, draw: Column) -> Column:
     )
 
 
+def wider(entity: Column, replacement: Column, key: str, draw: int) -> Column:
+    """replacement with draw - DRAWS characters more: letters before an address and after a name, else digits at the end.
+    Forms of IPv4 addresses and cards stay: no corpus has as many as half their values."""
+    stream = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"{draw}|wider|{n}"), entity), 256) for n in range(4)])
+    more = lambda c: in_form(F.lit(c * (draw - DRAWS)), stream)
+    kind = kind_of(entity)
+    return (
+        F.when(kind == "email", F.concat(more("x"), replacement))
+        .when(kind == "name", F.concat(replacement, F.when(replacement.rlike(r"\p{IsCyrillic}$"), more("и")).when(replacement.rlike(r"\p{IsGreek}$"), more("ι")).otherwise(more("x"))))
+        .when(kind.isin("ip", "card"), replacement)
+        .otherwise(F.concat(replacement, more("0")))
+    )
+
+
 def entities(text: Column) -> Column:
     """All entities of a text, in order."""
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -132,7 +152,7 @@ def redrawn(docs: DataFrame, key: str) -> DataFrame:
     """entity, replacement, draw of those whose first surrogate collides: with another one's, or with an entity."""
     known = stored(docs.select(F.explode(F.array_distinct(entities(F.col("text")))).alias("entity")).distinct(), "entities")
     given = stored(known.select("entity", surrogate(F.col("entity"), key, F.lit(0)).alias("replacement"), F.lit(0).alias("draw")), "surrogates")
-    for draw in range(1, DRAWS + 1):
+    for draw in itertools.count(1):
         # who keeps a shared surrogate: the one that has had it longest
         owners = given.groupBy("replacement").agg(F.count("*").alias("n"), F.min(F.struct("draw", "entity")).alias("owner")).where("n > 1")
         shared = given.join(owners, "replacement").where("entity <> owner.entity").select("entity")
@@ -140,9 +160,9 @@ def redrawn(docs: DataFrame, key: str) -> DataFrame:
         again = stored(shared.unionByName(taken).distinct(), "collisions")
         if again.isEmpty():
             return given.where("draw > 0")
-        fresh = again.select("entity", surrogate(F.col("entity"), key, F.lit(draw)).alias("replacement"), F.lit(draw).alias("draw"))
+        new = surrogate(F.col("entity"), key, F.lit(draw))
+        fresh = again.select("entity", (new if draw <= DRAWS else wider(F.col("entity"), new, key, draw)).alias("replacement"), F.lit(draw).alias("draw"))
         given = stored(given.join(again, "entity", "left_anti").unionByName(fresh), "surrogates")
-    raise RuntimeError("surrogates still collide: the entities fill their form")
 
 
 def replaced(text: Column, own: Column | None, key: str) -> Column:

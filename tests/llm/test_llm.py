@@ -316,6 +316,17 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
         assert len(set(found)) == 7 and sum("9.9.9.9" in t for t in found) == 1
 
 
+def test_full_forms_get_wider_surrogates(spark, monkeypatch):
+    monkeypatch.setattr(pii, "DRAWS", 3)  # for time: the addresses fill their form at any number
+    own = [f"+100{i}" for i in range(10)] + [f"{i // 10}@{i % 10}.com" for i in range(100)]
+    df = spark.createDataFrame([(i, f"id {e} end") for i, e in enumerate(own)], "doc_id long, text string")
+    found = [r["text"].split()[1] for r in pii.with_surrogates(df).collect()]
+    assert len(set(found)) == len(own) and not set(found) & set(own)
+    assert all(f.startswith("+1") if e.startswith("+") else f.endswith(".com") for e, f in zip(own, sorted(found, key=lambda f: "@" in f)))
+    local = spark.createDataFrame([(1, "ring +15551234567 now")], "doc_id long, text string")
+    assert not pii.with_surrogates(local).first()["text"].startswith("ring +1555123")
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     own = docs
