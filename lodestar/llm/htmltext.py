@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree. Elements that say what they are (navigation, forms, scripts, adverts, comments of readers, ...)
-are left out. For every other node the composite density is its characters by tag, adjusted by how much of both is in
+are left out, except one that by its name only would take the page's text with it. For every other node the composite density is its characters by tag, adjusted by how much of both is in
 links and by the page's link share; a node's density sum is that of its children. The node with the largest sum is the
 heart of the article; the least density on its path from the body is the threshold, and what lies beside the path is
 kept if it is as dense as that and not mostly links. Inside the nearest article or main element the whole element is the
@@ -39,34 +39,49 @@ NEVER = frozenset("html body article main".split())
 ALWAYS = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot advertorial sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification banner sidebar sidenav rail nav navbar navigation navigations menu menus breadcrumb breadcrumbs comment comments disqus respond reply replies share sharing social newsletter subscribe subscription related recommended popup modal overlay pagination pager skip toolbar signup login paywall disclaimer".split())
 OFTEN = frozenset("header footer masthead widget widgets meta tags toc copyright legal top bottom".split())
 ARTICLE = frozenset("article content main post entry story text body title headline".split())
+#: Comments of readers may be longer than the article.
+READERS = frozenset("comment comments disqus respond reply replies".split())
+#: First and last words of compounds that say what a page has, not what an element is; and of those that hold others.
+HAVING, STATES = frozenset("no has have with without".split()), frozenset("open closed enabled disabled".split())
+HOLDING = frozenset("wrap wrapper".split())
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped")
+    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "names")
 
-    def __init__(self, tag: str, parent: "Node | None", dropped: bool):
+    def __init__(self, tag: str, parent: "Node | None", dropped: bool, names: frozenset | set = frozenset()):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.names = names  # that leave it out, if nothing else does
         self.parts: list = []  # texts and nodes, in order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_boilerplate(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag in NEVER or not attributes or attributes.isspace():
-        return False
+def boilerplate(tag: str, attributes: str) -> tuple[bool, set[str]]:
+    """If an element is left out; and the names that say so, if nothing else does (of a form: its tag)."""
+    if tag in DROPPED and tag != "form":
+        return True, set()
+    if tag in NEVER:
+        return False, set()
+    names: set[str] = {"form"} if tag == "form" else set()
     words: set[str] = set()
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-            return True
+            return True, set()
         if name == "role" and value.lower() in ROLES:
-            return True
+            return True, set()
         if name in ("class", "id"):
-            words.update(w.lower() for w in WORDS.findall(value))
-    return bool(words & ALWAYS or (words & OFTEN and not words & ARTICLE))
+            for compound in value.split():
+                own = [w.lower() for w in WORDS.findall(compound)]
+                if len(own) > 1 and (own[0] in HAVING or own[-1] in STATES or (own[-1] in HOLDING and not ARTICLE.isdisjoint(own))):
+                    own = [w for w in own if w in ARTICLE]
+                words.update(own)
+    names |= words & ALWAYS
+    if not words & ARTICLE:
+        names |= words & OFTEN
+    return bool(names), names
 
 
 def parse(page: str) -> Node:
@@ -117,7 +132,7 @@ def parse(page: str) -> Node:
         if tag == "body":
             del stack[1:]
         parent = stack[-1]
-        node = Node(tag, parent, parent.dropped or is_boilerplate(tag, attributes))
+        node = Node(tag, parent, *boilerplate(tag, attributes))
         if tag == "header" and not node.dropped:
             node.dropped = not any(x.tag in ("article", "main") for x in stack)
         parent.parts.append(node)
@@ -134,6 +149,42 @@ def parse(page: str) -> Node:
     return root
 
 
+def reprieve(root: Node) -> None:
+    """Takes back what is left out by its name only but holds the text of the page: a main element; or, if no article or
+    main is outside of such elements, the largest article or more than half of the text that is not in links."""
+    nodes, named, todo = [], False, [(root, False, False)]
+    while todo:
+        x, link, under = todo.pop()
+        if x.dropped and not x.names:
+            continue
+        link, under = link or x.tag == "a", under or x.dropped
+        nodes.append((x, link, under))
+        named = named or x.dropped
+        todo.extend((p, link, under) for p in x.parts if p.__class__ is Node)
+    if not named:
+        return
+    size = {id(x): 0 if link else sum(len(p.strip()) for p in x.parts if p.__class__ is str) for x, link, _ in nodes}
+    for x, _, _ in reversed(nodes):  # children are after their parents
+        if x.parent is not None:
+            size[id(x.parent)] += size[id(x)]
+    holders = [x for x, _, _ in nodes if x.tag in ("article", "main") and size[id(x)]]
+    outside = any(x.tag in ("article", "main") and size[id(x)] and not under for x, _, under in nodes)
+    articles = [x for x in holders if x.tag == "article"]
+    kept = [x for x in holders if x.tag == "main"]
+    if articles and not outside and not kept:
+        kept.append(max(articles, key=lambda x: size[id(x)]))
+    while kept:
+        x = kept.pop().parent
+        while x is not None:
+            if x.dropped and x.names:
+                x.dropped = False
+            x = x.parent
+    if not holders:
+        for x, _, _ in nodes:
+            if x.dropped and not x.names & READERS and 2 * size[id(x)] > size[id(root)]:
+                x.dropped = False
+
+
 def in_order(root: Node) -> list[Node]:
     """Nodes that are not left out, parents before children."""
     out, todo = [], [root]
@@ -228,7 +279,9 @@ def blocks(tops: list[Node]) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    nodes, body = measure(parse(page))
+    root = parse(page)
+    reprieve(root)
+    nodes, body = measure(root)
     return "\n".join(blocks(keep(nodes, body)))
 
 

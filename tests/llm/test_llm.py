@@ -266,6 +266,19 @@ def test_html_main_text(spark):
     assert sorted(map(repr, map(tuple, htmltext.extract(pages).collect()))) == sorted(map(repr, [(1, "u", text, len(text)), (1, "u", text, len(text)), (2, None, "", 0), (None, "v", "", 0)]))
 
 
+def test_html_wrappers_with_boilerplate_names_keep_the_article():
+    text = "\n".join(f"Paragraph {i} of the article, which is long enough to be the text of the page." for i in range(6))
+    article = "".join(f"<p>{x}</p>" for x in text.split("\n"))
+    aside = '<div class="sidebar"><p>Weather today</p></div><div class="comments"><p>I like it very much</p></div>'
+    for name in ("content-sidebar-wrap", "site-content no-sidebar", "has-sidebar", "comments-open", "share-enabled", "page menu", "promo"):
+        assert htmltext.main_text(f'<body><div class="{name}"><div class="post">{article}</div>{aside}</div></body>') == text
+        assert htmltext.main_text(f'<body><div class="{name}"><article>{article}</article>{aside}</div></body>') == text
+    assert htmltext.main_text(f"<body><form><div>{article}</div>{aside}</form></body>") == text
+    readers = f'<div class="comments">{"<article><p>Readers wrote this comment of some length.</p></article>" * 30}</div>'
+    assert htmltext.main_text(f"<body><div class='sidebar-page'><article>{article}</article></div>{readers}</body>") == text
+    assert htmltext.main_text(f"<body><div class='post'>{article}</div>{readers.replace('article', 'div')}</body>") == text
+
+
 def test_media_round_trip(docs):
     rng = np.random.default_rng(1)
     for n in (1, 2, 7, 16, 17, 48, 101):
