@@ -16,13 +16,14 @@ DOT = "list_sum(list_transform(list_zip(e.embedding::double[], q.embedding::doub
 TOP = f"scored AS (SELECT e.vec_id, round(least(1.0, greatest(0.0, {DOT})), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q), top AS (SELECT * FROM scored ORDER BY score DESC, vec_id LIMIT 10)"
 
 
-def first_vector(spark, d):
-    return list(table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"])
+def search(spark, d, chosen):
+    units = table(spark, d, "embeddings")
+    return vectors.top_k_each(units, units.where(chosen), 10)
 
 
 @query(f"WITH {TOP} SELECT * FROM top")
 def vector_topk(spark, d):
-    return vectors.top_k(table(spark, d, "embeddings"), first_vector(spark, d), 10).select("vec_id", "score")
+    return search(spark, d, "vec_id = 0").select("vec_id", "score")
 
 
 @query(f"WITH {TOP} SELECT vec_id, score, lang, {tags_sql('text')} AS tags FROM top LEFT JOIN documents ON doc_id = vec_id")
@@ -31,6 +32,20 @@ def vector_topk_expand(spark, d):
     return vector_topk(spark, d).join(docs, "vec_id", "left").select("vec_id", "score", "lang", F.array_join(code.semantic_tags(F.col("text")), ",").alias("tags"))
 
 
+ALL = f"scored AS (SELECT q.vec_id AS query_id, e.vec_id, round(least(1.0, greatest(0.0, {DOT})), 6) AS score FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) q), top AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10)"
+
+
+@query(f"WITH {ALL} SELECT query_id, vec_id, score FROM top")
+def vector_topk_all(spark, d):
+    return search(spark, d, "vec_id % 100 = 0")
+
+
+@query(f"WITH {ALL} SELECT query_id, vec_id, score, lang, {tags_sql('text')} AS tags FROM top LEFT JOIN documents ON doc_id = vec_id")
+def vector_topk_expand_all(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "text")
+    return vector_topk_all(spark, d).join(docs, "vec_id", "left").select("query_id", "vec_id", "score", "lang", F.array_join(code.semantic_tags(F.col("text")), ",").alias("tags"))
+
+
 @query("WITH t AS (SELECT vec_id, embedding[1:16]::double[] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM t) SELECT vec_id, round(v[1] / n, 6) AS first, round(list_sum(list_transform(v, lambda x: x / n)), 5) AS total FROM n")
 def vector_truncate(spark, d):
     v = vectors.truncated(F.col("embedding"), 16)

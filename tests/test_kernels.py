@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lodestar.functions import code
-from lodestar.operators import diagnostics, flow, graph, store
+from lodestar.operators import diagnostics, flow, graph, store, vectors
 from lodestar.sources import python_source
 from lodestar.streaming import dirty
 
@@ -156,3 +156,12 @@ def test_streams_equal_batch(spark, tmp_path):
     assert rows(ran(dirty.reindex_triggers(stream, 20), "t1"), "project", "trigger") == rows(batch, "project", "trigger")
     sessions = ran(dirty.idle_sessions(stream, "30 minutes", "1 hour"), "t2")
     assert (0, 60) in rows(sessions, "project", "n_events")
+
+
+def test_top_k_of_every_query_across_blocks(spark):
+    found = {i: [((i * 7 + j * 3) % 11 - 4) / 10 for j in range(4)] for i in range(90)}
+    units = spark.createDataFrame(list(found.items()), "vec_id long, embedding array<float>")
+    got = vectors.top_k_each(units, units.where("vec_id % 10 = 0"), 5, rows=8)
+    score = lambda a, b: round(min(1.0, max(0.0, sum(x * y for x, y in zip(found[a], found[b])))), 6)
+    assert rows(got, "query_id", "vec_id") == sorted((q, u) for q in range(0, 90, 10) for u in sorted(found, key=lambda u: (-score(q, u), u))[:5])
+    assert vectors.top_k_each(units.limit(0), units.limit(0), 5).count() == 0
