@@ -54,18 +54,34 @@ def max_depth(text: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(F.split(text, "\n"), indent_depth)), F.lit(0)).cast("long")
 
 
+CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B81F}\x{F900}-\x{FAFF}\x{3000}-\x{30FF}\x{AC00}-\x{D7AF}]"
+EMOJI = r"[\x{1F300}-\x{1F9FF}\x{1FA00}-\x{1FA6F}\x{2600}-\x{27BF}\x{FE00}-\x{FE0F}\x{1F000}-\x{1F02F}]"
+
+
 def token_estimate(text: Column) -> Column:
     """Tokens by kind of character: ASCII a quarter, CJK one and a half, symbols and emoji three, others a half."""
     left = lambda p: F.length(F.regexp_replace(text, p, ""))
     n = F.length(text)
     ascii_n = n - left(r"[\x00-\x7F]")
-    cjk = n - left(r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B81F}\x{F900}-\x{FAFF}\x{3000}-\x{30FF}\x{AC00}-\x{D7AF}]")
-    emoji = n - left(r"[\x{1F300}-\x{1F9FF}\x{1FA00}-\x{1FA6F}\x{2600}-\x{27BF}\x{FE00}-\x{FE0F}\x{1F000}-\x{1F02F}]")
+    cjk = n - left(CJK)
+    emoji = n - left(EMOJI)
     other = n - ascii_n - cjk - emoji
     value = F.greatest(F.lit(1), F.floor(ascii_n / 4 + cjk * 1.5 + emoji * 3 + other / 2))
     return F.when(n > 0, value).otherwise(0).cast("long")
 
 
+def truncated_to_tokens(text: Column, most: int) -> Column:
+    """text, or its longest prefix of an estimate of at most that many tokens."""
+    quarters = lambda c: F.when(c.rlike(r"[\x00-\x7F]"), 1).when(c.rlike(CJK), 6).when(c.rlike(EMOJI), 12).otherwise(2)
+
+    def take(acc: Column, c: Column) -> Column:
+        w = acc["w"] + quarters(c)
+        return F.struct(w.alias("w"), (acc["n"] + F.when(w < 4 * (most + 1), 1).otherwise(0)).alias("n"))
+
+    fitting = F.aggregate(F.split(text, ""), F.struct(F.lit(0).alias("w"), F.lit(0).alias("n")), take, lambda acc: acc["n"])
+    return F.when(token_estimate(text) <= most, text).otherwise(F.substring(text, F.lit(1), fitting))
+
+
 def identifier_words(name: Column) -> Column:
     """snake, camel and acronym names as lower-case words."""
     spaced = F.regexp_replace(F.regexp_replace(F.replace(name, F.lit("_"), F.lit(" ")), "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")

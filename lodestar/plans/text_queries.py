@@ -82,6 +82,18 @@ def embedding_text(spark, d):
     return units.select("doc_id", F.concat_ws("\n", F.concat(F.lit("Name: "), "path"), F.concat(F.lit("Language: "), "lang"), F.when(tags != "", F.concat(F.lit("Tags: "), tags)), F.lit("Code:"), F.substring("text", 1, 400)).alias("unit_text"))
 
 
+MOST_TOKENS = 8192
+UNIT = f"{DOCS}, u AS (SELECT doc_id, concat_ws(chr(10), 'Name: ' || path, 'Language: ' || lang, CASE WHEN {tags_sql('text')} <> '' THEN 'Tags: ' || {tags_sql('text')} END, 'Code:', text) AS t FROM docs JOIN embeddings ON doc_id = vec_id), l AS (SELECT doc_id, t FROM u WHERE {ESTIMATE.format('t')} > {MOST_TOKENS}), c AS (SELECT doc_id, unnest(range(1, length(t) + 1)) AS i, unnest(string_split(t, '')) AS c FROM l), w AS (SELECT doc_id, i, sum(CASE WHEN unicode(c) < 128 THEN 1 ELSE 2 END) OVER (PARTITION BY doc_id ORDER BY i) AS w FROM c), n AS (SELECT doc_id, max(i) AS n FROM w WHERE w // 4 <= {MOST_TOKENS} GROUP BY doc_id)"
+
+
+@query(f"WITH {UNIT} SELECT doc_id, CASE WHEN n IS NULL THEN t ELSE left(t, n) END AS unit_text FROM u LEFT JOIN n USING (doc_id)")
+def embedding_text_whole(spark, d):
+    units = tables.document_paths(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
+    tags = F.array_join(code.semantic_tags(F.col("text")), ",")
+    whole = F.concat_ws("\n", F.concat(F.lit("Name: "), "path"), F.concat(F.lit("Language: "), "lang"), F.when(tags != "", F.concat(F.lit("Tags: "), tags)), F.lit("Code:"), "text")
+    return units.select("doc_id", whole.alias("whole")).select("doc_id", code.truncated_to_tokens(F.col("whole"), MOST_TOKENS).alias("unit_text"))
+
+
 PATHS = "paths AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'src/' || source || '/mod' || doc_id || '.py' WHEN 1 THEN 'tests/' || source || '/a' || doc_id || '.py' WHEN 2 THEN 'node_modules/@scope/' || source || '/i' || doc_id || '.js' WHEN 3 THEN 'node_modules/' || source || '/i' || doc_id || '.test.ts' WHEN 4 THEN '.venv/lib/site-packages/' || source || '/__init__.py' WHEN 5 THEN 'vendor/github.com/' || source || '/p' || doc_id || '/x_test.go' WHEN 6 THEN 'vendor/' || source || '/y' || doc_id || '.rb' WHEN 7 THEN 'lib/' || lang || '/generated/' || doc_id || '.rs' ELSE source || '/test_' || doc_id || '.py' END AS path FROM documents)"
 
 

@@ -63,6 +63,15 @@ def test_token_estimate(spark):
     assert [r[0] for r in df.select(code.token_estimate(F.col("t"))).collect()] == [0, 2, 3, 3, 1, 0]
 
 
+def test_texts_are_cut_at_the_token_limit_only(spark):
+    texts = ["a" * 32_771, "a" * 40_000, "é" * 20_000, "ab漢" * 3 + "x" * 50_000, "z" * 500, "", "😀" * 3000]
+    most = [32_771, 32_771, 16_385, 9 + 32_771 - 24, 500, 0, 2730]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = dict(map(tuple, df.select("i", code.truncated_to_tokens(F.col("t"), 8192)).collect()))
+    assert [got[i] for i in range(len(texts))] == [t[:n] for t, n in zip(texts, most)]
+    assert df.select(F.max(code.token_estimate(code.truncated_to_tokens(F.col("t"), 8192)))).first()[0] == 8192
+
+
 def test_chunks_cover_and_stop_at_the_end(spark):
     text = "".join(chr(97 + i % 26) for i in range(3801))
     got = spark.createDataFrame([(text,), ("",)], "t string").select(code.chunks(F.col("t"), 2000, 200)).collect()
