@@ -3,6 +3,7 @@ tables, columns with clashing names."""
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -279,6 +280,68 @@ def test_html_wrappers_with_boilerplate_names_keep_the_article():
     assert htmltext.main_text(f"<body><div class='post'>{article}</div>{readers.replace('article', 'div')}</body>") == text
 
 
+def test_html_probes_of_wrappers_and_of_renamed_elements():
+    text = "\n".join(f"Paragraph {i} of the article, which is long enough to be the text of the page." for i in range(6))
+    article = "".join(f"<p>{x}</p>" for x in text.split("\n"))
+    names = "has-sidebar no-sidebar nav-open social-story with-ads share-enabled comment-enabled related-work".split()
+    for name in names:
+        for tag in ("article", "div", "section"):
+            assert htmltext.main_text(f'<body><div class="{name}"><{tag}>{article}</{tag}></div></body>') == text
+    links = "<ul>" + "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(9)) + "</ul>"
+    unnamed = f"<body><div>{links}</div><div>Buy this</div><div>{article}{links}</div><div>{links}</div></body>"
+    assert htmltext.main_text(unnamed) == text
+    assert htmltext.main_text("<body><h1>Title</h1><p>One.<p>A longer second paragraph.<footer>me</footer>") == "Title\nOne.\nA longer second paragraph."
+
+
+def test_html_of_renamed_pages_is_the_same(spark):
+    for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        other = row["html"].replace("<article", "<div").replace("</article", "</div")
+        assert htmltext.main_text(row["html"]) == htmltext.main_text(other) != ""
+
+
+def brute_densities(node, body_chars, body_links):
+    """(tag, density, density sum) of a node and all below it, by the definition, each count by its own recursion."""
+    below = lambda x: [y for p in x.parts if isinstance(p, htmltext.Node) and not p.dropped for y in (p, *below(p))]
+    chars = lambda x: sum(len(" ".join(p.split())) for y in (x, *below(x)) for p in y.parts if isinstance(p, str))
+
+    def above(x):
+        return [x.parent, *above(x.parent)] if x.parent else []
+
+    def links(x):
+        if x.tag == "a":
+            return chars(x), len(below(x)) + 1
+        found = [y for y in below(x) if y.tag == "a" and not any(a.tag == "a" for a in above(y))]
+        return sum(map(chars, found)), sum(len(below(y)) + 1 for y in found)
+
+    def density(x):
+        c, t, (lc, lt) = chars(x), max(1, len(below(x))), links(x)
+        if not c:
+            return 0.0
+        base = np.log(np.log(c / max(1, c - lc) * max(1, lc) + body_links / max(1, body_chars) * c + np.e))
+        return c / t * np.log(max(1.0, c / max(1, lc) * t / max(1, lt))) / base
+
+    everything = [node, *below(node)]
+    return [(x.tag, density(x), sum(density(p) for p in x.parts if isinstance(p, htmltext.Node) and not p.dropped)) for x in everything]
+
+
+def test_html_densities_are_the_definitions():
+    for page in (PAGE, "<body><div>a <a href=x>b <b>c</b></a> d</div><p>one two three</p></body>", "<p>x<div><i>y</i> z zz</div>"):
+        root = htmltext.parse(page)
+        htmltext.leave_out(root)
+        nodes, body = htmltext.densities(root)
+        expected = brute_densities(root, body.chars, body.link_chars)
+        assert [x.tag for x in nodes] == [t for t, _, _ in expected]
+        assert np.allclose([x.density for x in nodes], [d for _, d, _ in expected])
+        assert np.allclose([x.total for x in nodes], [s for _, _, s in expected])
+
+
+def test_html_reading_is_linear():
+    began = time.perf_counter()
+    for part in ("<div ", "<div class='x>", "<b>", '<a href="', "<i></b>", "</p>", "<li>"):
+        assert isinstance(htmltext.main_text(part * (400_000 // len(part))), str)
+    assert time.perf_counter() - began < 20
+
+
 def test_media_round_trip(docs):
     rng = np.random.default_rng(1)
     for n in (1, 2, 7, 16, 17, 48, 101):
