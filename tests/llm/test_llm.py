@@ -3,6 +3,7 @@ tables, columns with clashing names."""
 
 import hashlib
 import random
+import struct
 import time
 import zlib
 
@@ -344,10 +345,12 @@ def test_html_reading_is_linear():
 
 def test_media_round_trip(docs):
     rng = np.random.default_rng(1)
-    for n in (1, 2, 7, 16, 17, 48, 101):
+    for n in (1, 2, 3, 4, 5, 17, 96, 97):
         payload = rng.integers(0, 256, 192 * n, dtype=np.uint8).tobytes()
-        assert media.read_avi(media.write_avi(payload))[0].tobytes() == payload
-    still = np.concatenate([np.full((9, 192), 20, np.uint8), np.full((5, 192), 200, np.uint8)])
+        file = media.write_avi(payload)
+        assert b"".join(f.tobytes() for f in media.read_avi(file)[0]) == payload
+        assert len(media.read_avi(file)[0]) == -(-n // 4)  # one size of frame, whatever divides the length
+    still = [*np.full((9, 768), 20, np.uint8), *np.full((4, 768), 200, np.uint8), np.full(192, 200, np.uint8)]
     assert media.shots(still) == [(0, 9), (9, 14)]
     for r in media.media_digests(docs).collect():
         text = dict(texts_of(docs))[r["doc_id"]].encode()
@@ -355,6 +358,113 @@ def test_media_round_trip(docs):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(text), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]))
 
 
+def canonical(lengths):
+    """Code strings of symbols by (length, symbol), in order."""
+    code, last, out = 0, 0, {}
+    for length, symbol in sorted(lengths):
+        code <<= length - last
+        out[symbol], code, last = f"{code:0{length}b}", code + 1, length
+    return out
+
+
+def huffman_segment(number, lengths):
+    by_length = [[s for n, s in sorted(lengths) if n == k] for k in range(1, 17)]
+    return media.segment(0xC4, bytes([number, *map(len, by_length), *(s for x in by_length for s in x)]))
+
+
+def grey_frame(coefficients, columns, quantiser, dc_lengths, ac_lengths, restart=0):
+    """A baseline frame of blocks of 64 quantised coefficients in scan order, by another encoder than the engine's."""
+    dc, ac = canonical(dc_lengths), canonical(ac_lengths)
+
+    def amount(v):
+        return "" if v == 0 else f"{v if v > 0 else v + (1 << abs(v).bit_length()) - 1:0{abs(v).bit_length()}b}"
+
+    parts, bits, last = [], "", 0
+    for b, block in enumerate(coefficients):
+        if restart and b and b % restart == 0:
+            parts, bits, last = [*parts, bits], "", 0
+        bits += dc[abs(block[0] - last).bit_length()] + amount(block[0] - last)
+        last, run = block[0], 0
+        for v in block[1:]:
+            if v == 0:
+                run += 1
+                continue
+            while run > 15:
+                bits, run = bits + ac[0xF0], run - 16
+            bits, run = bits + ac[run << 4 | abs(v).bit_length()] + amount(v), 0
+        if run:
+            bits += ac[0]
+    scans = []
+    for part in [*parts, bits]:
+        part += "1" * (-len(part) % 8)
+        scans.append(bytes(int(part[i : i + 8], 2) for i in range(0, len(part), 8)).replace(b"\xff", b"\xff\0"))
+    scan = b"".join(s + (bytes([0xFF, 0xD0 + i % 8]) if i + 1 < len(scans) else b"") for i, s in enumerate(scans))
+    rows = len(coefficients) // columns
+    head = media.segment(0xDB, bytes([0, *quantiser])) + media.segment(0xC0, struct.pack(">BHHB", 8, rows * 8, columns * 8, 1) + bytes([1, 0x11, 0]))
+    head += huffman_segment(0x00, dc_lengths) + huffman_segment(0x10, ac_lengths)
+    head += media.segment(0xDD, struct.pack(">H", restart)) if restart else b""
+    return b"\xff\xd8" + head + media.segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + scan + b"\xff\xd9"
+
+
+def test_media_decodes_frames_with_other_tables_and_ac_values():
+    rng = random.Random(4)
+    order = []  # the zigzag, walked
+    r = c = 0
+    for _ in range(64):
+        order.append((r, c))
+        if (r + c) % 2 == 0:
+            r, c = (r + 1, c) if c == 7 else (r, c + 1) if r == 0 else (r - 1, c + 1)
+        else:
+            r, c = (r, c + 1) if r == 7 else (r + 1, c) if c == 0 else (r + 1, c - 1)
+    coefficients = [[rng.randint(-30, 30)] + [rng.choice([0] * 9 + [rng.randint(-7, 7)]) for _ in range(63)] for _ in range(6)]
+    coefficients[3][1:] = [0] * 62 + [5]
+    quantiser = [rng.randint(1, 9) for _ in range(64)]
+    sizes = [(2 + (i > 1) + (i > 3) * 2, i) for i in range(9)]
+    pairs = sorted({(run << 4 | n) for run in range(16) for n in range(1, 4)} | {0, 0xF0})
+    lengths = [(4 if s in (0, 1, 2, 17) else 8, s) for s in pairs]
+    for restart in (0, 2):
+        frame = grey_frame(coefficients, 3, quantiser, sizes, lengths, restart)
+        (got, *_), rate, counted = media.read_frames(media.avi([frame, frame], 24, 16, 2 * 384))
+        whole = got.reshape(16, 24)
+        for b, block in enumerate(coefficients):
+            f = {order[i]: v * quantiser[i] for i, v in enumerate(block)}
+            scale = lambda u: 0.5**0.5 if u == 0 else 1.0
+            for y in (0, 3, 7):
+                for x in (0, 4, 7):
+                    value = 128 + sum(scale(u) * scale(v) / 4 * s * np.cos((2 * x + 1) * u * np.pi / 16) * np.cos((2 * y + 1) * v * np.pi / 16) for (v, u), s in f.items())
+                    assert abs(float(whole[b // 3 * 8 + y, b % 3 * 8 + x]) - min(255, max(0, value))) <= 0.51
+    flat = [[rng.randint(-100, 100)] + [0] * 63 for _ in range(5)]  # fixed widths, other tables than the writer's
+    fixed = grey_frame(flat, 5, [16] * 64, [(9 - i, i) for i in range(9)][::-1], [(2, 0)])
+    assert media.Head(fixed).fixed is not None
+    assert media.read_frames(media.avi([fixed], 40, 8, 5))[0][0].tolist() == [min(255, max(0, 2 * b[0] + 128)) for b in flat]
+
+
+def test_media_that_cannot_be_read_gives_a_row_with_the_reason(spark):
+    good = media.write_avi(b"x" * 192 * 9)
+    broken = [good, None, b"", b"RIFF", good[:300], good[:-40], good.replace(b"\xff\xc0", b"\xff\xc2"), good.replace(b"\xff\xc4", b"\xff\xef")]
+    df = spark.createDataFrame(list(enumerate(broken)), "doc_id long, media binary")
+    got = sorted(media.clips(df).collect())
+    assert [r["doc_id"] for r in got] == list(range(len(broken)))
+    assert got[0]["error"] is None and got[0]["mean"] == 120.0 and all(r["error"] and r["clip"] is None for r in got[1:])
+
+
+def test_media_shots_are_the_definitions():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        frames = [rng.integers(lo, lo + 40, rng.integers(10, 50)).astype(np.uint8) for lo in rng.choice([0, 100, 200], 30)]
+        cuts, d = [0], []
+        for a, b in zip(frames, frames[1:]):
+            share = lambda f, k: sum(1 for v in f.tolist() if v // 8 == k) / len(f)
+            d.append(sum(abs(share(a, k) - share(b, k)) for k in range(32)) / 2)
+        for i, x in enumerate(d):
+            w = d[max(0, i - 8) : i]
+            mean = sum(w) / len(w) if w else 0.0
+            deviation = (sum((v - mean) ** 2 for v in w) / len(w)) ** 0.5 if w else 0.0
+            if x >= 0.15 and (not w or x > mean + 3 * deviation + 1e-9):
+                cuts.append(i + 1)
+        assert [a for a, _ in media.shots(frames)] == cuts
+
+
 PRIVATE = [
     (1, "Write to of.55@mail9.example.com or call +1 (743) 555-3824, IP 227.5.221.1. Card 4111 1111 1111 1111!"),
     (2, "of.55@mail9.example.com again; token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907f1\", 078-05-1120"),
