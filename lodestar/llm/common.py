@@ -1,15 +1,16 @@
-"""What the operators share: reading tables, written intermediate tables, memos in Python workers."""
+"""What the operators share: reading tables, written intermediate tables, memos in Python workers, maps by batch."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.plans.lineage import discard  # noqa: F401
+from lodestar.plans.lineage import written as stored  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,26 +26,6 @@ def id_crc(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once as Parquet in the folder that all machines share, and read again.
-
-    It cuts the lineage: a lost executor costs a re-read, not a recomputation. The folder is the session's
-    ``spark.checkpoint.dir``; only where that is unset (tests) it is a new temporary folder. The table goes when the
-    driver ends.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
-        root = sc.getCheckpointDir()
-    path = f"{root.rstrip('/')}/lodestar/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class Memo(dict):
     """function's results by argument, for one Python worker. Bounded: when it is full, its entries become the older
     generation, which goes at the next time; what is asked for meanwhile moves over. Results of long arguments are not
@@ -67,22 +48,31 @@ class Memo(dict):
         return value
 
 
-def by_batch(schema: str, fields: list[tuple[str, pa.DataType]], rows: Callable[[list, list], Iterable[tuple]], first: str = "doc_id", second: str = "text"):
-    """For mapInArrow: rows(ids, texts) gives the output rows of a batch as tuples."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = list(zip(*rows(batch.column(first).to_pylist(), batch.column(second).to_pylist())))
-            columns = out or [[] for _ in fields]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
-
-    return run
+KINDS = {
+    "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(),
+    "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()),
+}
+#: Characters or bytes of input that a call of rows() gets at most, unless one row alone has more.
+BATCH_BYTES = 8_000_000
 
 
-KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+def parts_of(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """batch in slices of about most bytes of a column, so that lists of Python objects stay small."""
+    size = batch.column(column).nbytes
+    rows = batch.num_rows if size <= most else max(1, batch.num_rows * most // size)
+    for at in range(0, batch.num_rows, max(1, rows)):
+        yield batch.slice(at, rows)
 
 
 def map_texts(df: DataFrame, schema: str, rows: Callable[[list, list], Iterable[tuple]], first: str = "doc_id", second: str = "text") -> DataFrame:
     """df's (first, second) columns through rows(), batch by batch; no shuffle. schema: names and types of KINDS."""
     fields = [(n, KINDS[k]) for n, k in (x.split(" ", 1) for x in schema.split(", "))]
-    return df.select(first, second).mapInArrow(by_batch(schema, fields, rows, first, second), schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts_of(batch, second):
+                out = list(zip(*rows(part.column(first).to_pylist(), part.column(second).to_pylist())))
+                columns = out or [[] for _ in fields]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+    return df.select(first, second).mapInArrow(run, schema)

@@ -12,7 +12,8 @@ in blocks of members: what is outside of the bucket's largest component against
 linked components, not for a pair of documents, so no list of pairs is made and no link between components is lost.
 
 Null or empty text, or no word: no shingle, linked with nothing. Null doc_id: linked with nothing, kept. Rows that
-repeat a doc_id are one document for links. Ties: the least doc_id names a component and is its document to keep.
+repeat a doc_id: each goes by its own text. Ties: the least doc_id names a component and is its document to keep. Very
+long texts: whole, as one set; memory is a few times the text. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Memo, map_texts, stored, texts
+from lodestar.llm.common import Memo, discard, map_texts, stored
 
 BANDS, BAND_ROWS = 40, 6
 REGISTERS = BANDS * BAND_ROWS
@@ -107,29 +108,45 @@ def similarity(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np
     return j[np.arange(len(j)), likelihood.argmax(axis=1)]
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, s1 and s2 (128 bits of the set; those of an empty set differ by document), keys."""
+def keyed(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """at (doc_id and row), text: null text as empty. row tells rows of one doc_id apart; 0 where that is of no use."""
+    at = F.struct(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(0) if row is None else row).cast("long").alias("row"))
+    return docs.select(at.alias("at"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
-    def rows(ids, batch):
-        for i, t in zip(ids, batch):
+
+def digest(shingles: np.ndarray) -> tuple[int, int]:
+    d = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
+    return int(d[0]), int(d[1])
+
+
+def signatures(docs: DataFrame, words: int, row: Column | None = None) -> DataFrame:
+    """doc_id, row, n_shingles, s1 and s2 (128 bits of the set; null for an empty set or doc_id), keys."""
+
+    def rows(ats, batch):
+        for at, t in zip(ats, batch):
             s = shingle_set(t, words)
-            if not len(s) or i is None:
-                yield i, len(s), i, None, []
+            if not len(s) or at["doc_id"] is None:
+                yield at["doc_id"], at["row"], len(s), None, None, []
                 continue
-            d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-            yield i, len(s), int(d[0]), int(d[1]), band_keys(registers(s)).tolist()
+            yield at["doc_id"], at["row"], len(s), *digest(s), band_keys(registers(s)).tolist()
 
-    return map_texts(texts(docs), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>", rows)
+    return map_texts(keyed(docs, row), "doc_id long, row long, n_shingles long, s1 long, s2 long, keys array<long>", rows, first="at")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, shingles (sorted hashes, as bytes)."""
-    return map_texts(texts(docs), "doc_id long, shingles binary", lambda ids, batch: ((i, shingle_set(t, words).tobytes()) for i, t in zip(ids, batch)))
+    """s1, s2, shingles (sorted hashes, as bytes) of every row."""
+
+    def rows(ats, batch):
+        for t in batch:
+            s = shingle_set(t, words)
+            yield *digest(s), s.tobytes()
+
+    return map_texts(keyed(docs), "s1 long, s2 long, shingles binary", rows, first="at")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, margin: float = 0.16) -> DataFrame:
     """The links among pairs (a, b). The estimate only rules out what is margin (six deviations) below the bound."""
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"{x}_set"))
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"{x}_set"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +214,7 @@ def links_in_blocks(apart: DataFrame, sets: DataFrame, percent: int, block: int
     below = F.transform(F.filter(others, lambda x: x <= F.col("own")), lambda x: spot(x, F.col("own"), 1))
     at_right = F.transform(others, lambda x: spot(x, -1 - F.col("own"), 1))
     spread = placed.withColumn("own", own).select("key", "id", "component", F.explode(F.when(F.col("out"), F.concat(inside, outside, below)).otherwise(at_right)).alias("at"))
-    rows = spread.select("key", "at.*", "component", "id").join(sets.withColumnRenamed("doc_id", "id"), "id").select("key", "l", "r", "side", "component", "shingles")
+    rows = spread.select("key", "at.*", "component", "id").join(sets, "id").select("key", "l", "r", "side", "component", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ended() -> pa.RecordBatch:
@@ -219,37 +236,47 @@ def links_in_blocks(apart: DataFrame, sets: DataFrame, percent: int, block: int
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, component (its least node) of each node of edges (a, b), by alternating large and small stars. Minima are
     written tables, so that a node with very many edges is a join that can be split, not one task."""
-    pairs = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    ends = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    pairs = stored(ends.distinct(), "edges")
     state = None
     for _ in range(most):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least")), "least")
-        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct(), "large")
+        near = stored(both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least")), "least")
+        large = stored(both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct(), "large")
         least = stored(large.groupBy("u").agg(F.min("v").alias("least")), "least")
         small = large.join(least, "u").where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        pairs = stored(small.unionByName(least.select("u", F.col("least").alias("v"))).distinct(), "edges")
+        after = stored(small.unionByName(least.select("u", F.col("least").alias("v"))).distinct(), "edges")
+        discard(pairs, near, large, least)
+        pairs = after
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
         if now == state:
             break
         state = now
     else:
         raise RuntimeError("components did not settle")
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, draws: int = 1) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
-    signed = stored(signatures(docs, words), "signed")
-    nodes = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "nodes")
+    tops = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
+
+
+def grouped(docs: DataFrame, words: int, percent: int, row: Column | None = None, draws: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows (without keys); and s1, s2, component, component_id of every distinct set: a number of its
+    component, and the least doc_id there. A set is one node, whatever its rows' ids are."""
+    signed = stored(signatures(docs, words, row), "signed")
+    of_set = [F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")]
+    # a number for each node: of the written table, so it is the same at every read
+    nodes = signed.where("s1 is not null").groupBy("s1", "s2").agg(*of_set).withColumn("id", F.monotonically_increasing_id())
+    nodes = stored(nodes, "nodes")
     banded = nodes.select("id", "n", F.explode("keys").alias("key"))
-    shared = stored(banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first"), "buckets")
-    members = stored(banded.join(shared, "key"), "members")
-    sets = stored(full_sets(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), words).distinct(), "sets")
+    shared = banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    members = stored(banded.join(stored(shared.select("key", "first"), "buckets"), "key"), "members")
+    wanted = members.select("id").distinct().join(nodes.select("id", "s1", "s2", "doc"), "id")
+    read = docs.join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = full_sets(read, words).dropDuplicates(["s1", "s2"]).join(wanted.select("s1", "s2", "id"), ["s1", "s2"])
+    sets = stored(sets.select("id", "shingles"), "sets")
 
     sizes_fit = F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
-    spark = docs.sparkSession
     links = tested = None
-    label = spark.createDataFrame([], "node long, component long")
+    label = docs.sparkSession.createDataFrame([], "node long, component long")
 
     def compare(pairs: DataFrame) -> int:
         """Adds the links among new pairs (a < b) and relabels; the number of links."""
@@ -261,43 +288,67 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, draws: i
         n = found.count()
         if n:
             links = found if links is None else links.unionByName(found)
-            label = stored(components(links), "labels")
+            before, label = label, stored(components(links), "labels")
+            discard(before)
         return n
 
     def labelled() -> DataFrame:
         """Members of buckets that hold more than one component."""
-        now = members.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-        now = stored(now, "labelled")
-        mixed_buckets = stored(now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high"), "mixed")
-        return now.join(mixed_buckets, "key")
+        now = members.join(label.withColumnRenamed("node", "id"), "id", "left")
+        now = stored(now.select("key", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
+        mixed_buckets = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        return now.join(stored(mixed_buckets, "mixed"), "key")
 
     first_sizes = nodes.select(F.col("id").alias("first"), F.col("n").alias("m"))
     starts = members.where("first < id").groupBy("id", "n").agg(F.min("first").alias("first"))
     compare(starts.join(first_sizes, "first").where(sizes_fit).select(F.col("first").alias("a"), F.col("id").alias("b")))
     for draw in range(draws):
-        drawn = stored(labelled().groupBy("key", "component", "low").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", "key", F.lit(draw))).alias("one")), "drawn")
+        one = F.min_by(F.struct("id", "n"), F.xxhash64("id", "key", F.lit(draw))).alias("one")
+        drawn = stored(labelled().groupBy("key", "component", "low").agg(one), "drawn")
         if drawn.isEmpty():
             break
         base = drawn.where("component = low").select("key", F.col("one.id").alias("base"), F.col("one.n").alias("m"))
-        pairs = drawn.where("component > low").select("key", F.col("one.id").alias("id"), F.col("one.n").alias("n")).join(base, "key").where(sizes_fit)
+        others = drawn.where("component > low").select("key", F.col("one.id").alias("id"), F.col("one.n").alias("n"))
+        pairs = others.join(base, "key").where(sizes_fit)
         if not compare(pairs.select(F.least("id", "base").alias("a"), F.greatest("id", "base").alias("b"))):
             break
     apart = stored(labelled(), "apart")
     if not apart.isEmpty():
         crossing = stored(links_in_blocks(apart.select("key", "id", "component"), sets, percent), "crossing")
         if not crossing.isEmpty():
-            label = components(crossing if links is None else links.unionByName(crossing))
+            label = stored(components(crossing if links is None else links.unionByName(crossing)), "labels")
+    discard(members, sets, apart)
 
-    named = nodes.select("s1", "s2", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component"))
-    return (
-        signed.drop("keys")
-        .join(named, ["s1", "s2"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    linked = label.join(nodes.select(F.col("id").alias("node"), "doc"), "node")
+    least = linked.groupBy("component").agg(F.min("doc").alias("component_id"))
+    of_node = label.join(least, "component").select(F.col("node").alias("id"), "component", "component_id")
+    named = nodes.select("id", "s1", "s2", "doc").join(of_node, "id", "left")
+    named = named.select("s1", "s2", F.coalesce("component", "id").alias("component"), F.coalesce("component_id", "doc").alias("component_id"))
+    return signed.drop("keys"), named
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    signed, named = grouped(docs, words, percent)
+    found = signed.join(named, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, that stay: one for each component, and all rows without an id."""
-    kept = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of docs, all columns, that stay: of each component the row with the least doc_id (then the least hash of
+    all its columns; of exact repeats one), and all rows without an id or a word."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    signed, named = grouped(docs, words, percent, row)
+    rows = stored(signed.where("s1 is not null").join(named, ["s1", "s2"]).select("component", "doc_id", "row"), "rows")
+    several = rows.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("chosen"), F.count("*").alias("n")).where("n > 1")
+    chosen = (F.col("doc_id") == F.col("chosen.doc_id")) & (F.col("row") == F.col("chosen.row"))
+    decided = rows.join(several.drop("n"), "component").groupBy("doc_id", "row").agg(F.bool_or(chosen).alias("once"), F.count("*").alias("n"))
+    # names that no column of docs has
+    decided = stored(decided.where("not once or n > 1").select(F.col("doc_id").alias("__id"), F.col("row").alias("__of"), "once"), "decided")
+    own = docs.withColumn("__row", row)
+    same = (F.col("doc_id") == F.col("__id")) & (F.col("__row") == F.col("__of"))
+    single = own.join(decided, same, "left_anti").select(docs.columns)
+    repeats = decided.where("once")
+    if repeats.isEmpty():
+        return single
+    return single.unionByName(own.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "__row"]).select(docs.columns))

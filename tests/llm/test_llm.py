@@ -201,7 +201,7 @@ def test_blocks_of_a_large_bucket_find_the_links_between_components(spark):
     rng = random.Random(2)
     sets = {i: set(rng.sample(range(40), 20)) if i % 2 else set(range(100 + i % 5, 120 + i % 5)) for i in range(60)}
     members = spark.createDataFrame([(1, i, i) for i in sets], "key long, id long, component long")
-    stored = spark.createDataFrame([(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in sets.items()], "doc_id long, shingles binary")
+    stored = spark.createDataFrame([(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in sets.items()], "id long, shingles binary")
     got = {(r[0], r[1]) for r in neardup.links_in_blocks(members, stored, 80, block=7).collect()}
     assert got == {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
 
@@ -215,13 +215,34 @@ def test_registers_merge_and_estimate():
     assert abs(j - len(a) / len(both)) < 0.1
 
 
-def test_near_duplicates_edge_cases(docs):
+def test_bands_find_pairs_at_the_bound():
+    """Pairs of exactly 80 %: none of some thousands shares no band, and about 0.8 of the registers agree."""
+    rng = np.random.default_rng(12)
+    equal, missed, n = 0.0, 0, 3000
+    for _ in range(n):
+        k = int(rng.integers(1, 30))  # 8k in common of 10k
+        drawn = rng.integers(0, 1 << 63, 10 * k, dtype=np.uint64) * np.uint64(2)
+        a, b = (neardup.registers(neardup.mixed(np.unique(x))) for x in (drawn[: 9 * k], np.concatenate((drawn[: 8 * k], drawn[9 * k :]))))
+        equal += (a == b).mean()
+        missed += not (neardup.band_keys(a) == neardup.band_keys(b)).any()
+    assert missed == 0 and abs(equal / n - 0.8) < 0.005
+
+
+def test_near_duplicates_edge_cases(docs, spark):
     got = neardup.near_duplicates(docs).collect()
     assert len(got) == docs.count()
     kept = neardup.one_of_each(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and 91 not in ids and None in ids
+    # rows of one id with other texts are documents of their own; of repeated rows and copies one stays
+    schema = "doc_id long, text string, row string, id string"
+    rows = [(1, "a b c d e f", "x", "y"), (1, "u v w x y z", "x", "y"), (1, "u v w x y z", "x", "y"), (1, "A b c d e f", "z", "y"), (2, "u v w x y z", "x", "y")]
+    rows += [(3, "", "x", "y"), (3, None, "x", "y"), (None, "u v w x y z", "x", "y"), (None, "u v w x y z", "x", "y")]
+    stay = neardup.one_of_each(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(r["text"].lower() for r in stay if r["doc_id"] == 1) == ["a b c d e f", "u v w x y z"]
+    assert sorted(str(r["doc_id"]) for r in stay) == ["1", "1", "3", "3", "None", "None"]
+    assert neardup.one_of_each(spark.createDataFrame([], schema)).collect() == []
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
