@@ -17,7 +17,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return simhash.fingerprinted(table(spark, sf_dir, "documents"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

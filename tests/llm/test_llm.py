@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -120,6 +121,40 @@ def test_fingerprints_of_texts_and_edits(docs):
     assert rows[12]["fingerprint"] == rows[91]["fingerprint"] == rows[None]["fingerprint"]
     assert rows[0]["fingerprint"] == "0" * 32
     assert simhash.edited_fingerprints(docs).count() == docs.count()
+    for i in (0, 6, 12, 20):  # votes by the definition, in plain integers
+        mask = (1 << 64) - 1
+        words = [w for w in text[i].lower().split()]
+        h = [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+        votes, k = [0] * 128, min(3, len(h))
+        for at in range(len(h) - k + 1 if k else 0):
+            term = 0
+            for x in h[at : at + k]:
+                term = ((term ^ term >> 31) * int(simhash.MIX[0]) + x * int(simhash.MIX[1])) & mask
+            mixed = b""
+            for by in simhash.MIX[2:]:
+                x = ((term ^ term >> 29) * int(by)) & mask
+                mixed += (x ^ x >> 32).to_bytes(8, "little")
+            votes = [v + (1 if mixed[b // 8] >> (7 - b % 8) & 1 else -1) for b, v in enumerate(votes)]
+        assert int(rows[i]["fingerprint"], 16) == sum(1 << (127 - b) for b, v in enumerate(votes) if v > 0)
+        other = int(rows[i]["edited_fingerprint"], 16) ^ int(rows[i]["fingerprint"], 16)
+        assert rows[i]["near_edited"] == 1 - other.bit_count() / 128
+    order_of = dict(zip(order, order[1:] + order[:1]))
+    assert all(r["near_next"] == 1 - (int(r["fingerprint"], 16) ^ int(rows[order_of[i]]["fingerprint"], 16)).bit_count() / 128 for i, r in rows.items())
+
+
+def test_fingerprints_over_many_buckets_are_the_same(docs):
+    own = docs.dropDuplicates(["doc_id"])
+    shown = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    few, many = simhash.with_next(own, 10**9, 1), simhash.with_next(own, 500, 30)
+    follows = lambda df: sorted(str(r["doc_id"]) for r in df.where("helper = 0").collect())
+    assert follows(few) == follows(many) and many.rdd.getNumPartitions() > 10
+    expected = simhash.edited_fingerprints(own)
+    with_more = simhash.fingerprinted(own, every=1)
+    assert shown(with_more.drop("near_documents")) == shown(expected)
+    prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in expected.collect()}
+    for r in with_more.collect():
+        n = sum((x ^ prints[r["doc_id"]]).bit_count() <= 3 for x in prints.values()) - 1
+        assert r["near_documents"] == (None if r["doc_id"] is None else n)
 
 
 def test_search_finds_all_within_the_radius(spark):
