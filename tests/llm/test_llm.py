@@ -2,6 +2,7 @@
 tables, columns with clashing names."""
 
 import hashlib
+import ipaddress
 import random
 import struct
 import time
@@ -551,6 +552,49 @@ def test_surrogates_keep_form_and_identity(spark):
     assert pii.with_surrogates(df).columns == df.columns
 
 
+def iban_fits(text):
+    compact = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+
+
+def test_surrogates_of_names_numbers_and_scripts(spark):
+    texts = [
+        "Mrs Anna Miller met Mr Jones; later Miller said that Anna and MILLER-like things differ. Millerton stays.",
+        "Mr Miller came. Mr Smith-Jones and Mr O'Brien too.",
+        "господин Иванов и госпожа Анна Иванова; Иванова сказала, Иванов ушёл.",
+        "Mr 王小明 and Mrs 김미영; 王小明 left",
+        "hosts 2001:db8::ff00:42:8329 and fe80::1 at 12:30:45, std::vector, a::b",
+        "IBAN DE89 3704 0044 0532 0130 00, GB82WEST12345698765432, wrong DE88370400440532013000",
+        "a \ue000 mark \ue000# and \ue000! of 10.1.2.3 \ue000",
+        "Dr MILLER spoke.",
+        "Nobody here: Miller without a title, Иванова",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.surrogates(df).collect()}
+    out = {i: r["text"] for i, r in got.items()}
+    first = out[0].split()
+    family, given = first[2], first[1]
+    assert given.endswith("a") and family[0].isupper() and "Anna" not in out[0] and "Miller " not in out[0] and "Jones" not in out[0]
+    assert out[0] == f"Mrs {given} {family} met Mr {first[5]} later {family} said that {given} and MILLER-like things differ. Millerton stays."
+    assert out[1].startswith(f"Mr {family} came. Mr ") and out[1].count("-") == 1 and out[7] == f"Dr {family.upper()} spoke."
+    man, woman = out[2].split()[1], out[2].split()[5].rstrip(";")
+    assert woman == man + "а" and man.endswith("ов") and out[2].split()[4].endswith("а") and out[2].count(woman) == 2 and "Иван" not in out[2]
+    han, hangul = out[3].split()[1], out[3].split()[4].rstrip(";")
+    assert all("\u4e00" <= c <= "\u9fff" for c in han) and len(han) == 3 and all("\uac00" <= c <= "\ud7a3" for c in hangul) and out[3].split()[5] == han
+    assert "2001:db8" not in out[4] and "fe80::1 " not in out[4] and out[4].endswith("at 12:30:45, std::vector, a::b") and got[4]["n_entities"] == 2
+    ipaddress.ip_address(out[4].split()[1])
+    good, other, bad = out[5][5:].replace(" wrong", "").split(", ")
+    assert iban_fits(good) and good.startswith("DE") and good.count(" ") == 5 and iban_fits(other) and other[4:8].isalpha() and not iban_fits(bad[-22:])
+    assert out[6].startswith("a \ue000 mark \ue000# and \ue000! of ") and "10.1.2.3" not in out[6] and out[8] == texts[8]
+
+
+def test_short_addresses_all_get_surrogates_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(pii, "DRAWS", 1)  # for time: the form is too full for any number of draws
+    own = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrs"][:475]
+    found = [r["text"] for r in pii.surrogates(spark.createDataFrame([(i, e) for i, e in enumerate(own)], "doc_id long, text string")).collect()]
+    assert len(set(found)) == 475 and not set(found) & set(own) and all(f.endswith(".co") for f in found)
+
+
 def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     real = pii.surrogate
     monkeypatch.setattr(pii, "surrogate", lambda e, key, draw: F.when(draw == 0, F.lit("9.9.9.9")).otherwise(real(e, key, draw)))
@@ -562,7 +606,7 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
 
 
 def test_full_forms_get_wider_surrogates(spark, monkeypatch):
-    monkeypatch.setattr(pii, "DRAWS", 3)  # for time: the addresses fill their form at any number
+    monkeypatch.setattr(pii, "DRAWS", 1)  # for time: the addresses fill their form at any number
     own = [f"+100{i}" for i in range(10)] + [f"{i // 10}@{i % 10}.com" for i in range(100)]
     df = spark.createDataFrame([(i, f"id {e} end") for i, e in enumerate(own)], "doc_id long, text string")
     found = [r["text"].split()[1] for r in pii.with_surrogates(df).collect()]
