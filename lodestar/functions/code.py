@@ -39,9 +39,11 @@ def count_words(text: Column, words: str) -> Column:
 
 
 def semantic_tags(text: Column) -> Column:
-    """Sorted names of the categories with a word in the text."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(has_word(low, w), t) for t, w in sorted(TAGS.items())]))
+    """Sorted names of the categories with a word in the text. The text is split once, into its distinct words."""
+    words = F.array_distinct(F.split(F.lower(text), "[^A-Za-z0-9_]+"))
+    member = lambda w, ws: F.arrays_overlap(w, F.array(*map(F.lit, ws.split("|"))))
+    found = F.transform(F.array(words), lambda w: F.array_compact(F.array(*[F.when(member(w, ws), t) for t, ws in sorted(TAGS.items())])))
+    return F.get(found, F.lit(0))
 
 
 def indent_depth(line: Column) -> Column:
@@ -60,13 +62,12 @@ EMOJI = r"[\x{1F300}-\x{1F9FF}\x{1FA00}-\x{1FA6F}\x{2600}-\x{27BF}\x{FE00}-\x{FE
 
 def token_estimate(text: Column) -> Column:
     """Tokens by kind of character: ASCII a quarter, CJK one and a half, symbols and emoji three, others a half."""
-    left = lambda p: F.length(F.regexp_replace(text, p, ""))
     n = F.length(text)
-    ascii_n = n - left(r"[\x00-\x7F]")
-    cjk = n - left(CJK)
-    emoji = n - left(EMOJI)
-    other = n - ascii_n - cjk - emoji
-    value = F.greatest(F.lit(1), F.floor(ascii_n / 4 + cjk * 1.5 + emoji * 3 + other / 2))
+    # only what is not ASCII is looked at by kind
+    rest = F.when(F.octet_length(text) > n, F.regexp_replace(text, r"[\x00-\x7F]+", "")).otherwise("")
+    counted = F.struct(F.length(rest).alias("n"), (F.length(rest) - F.length(F.regexp_replace(rest, f"{CJK}+", ""))).alias("cjk"), (F.length(rest) - F.length(F.regexp_replace(rest, f"{EMOJI}+", ""))).alias("emoji"))
+    weight = lambda x: (n - x["n"]) / 4 + x["cjk"] * 1.5 + x["emoji"] * 3 + (x["n"] - x["cjk"] - x["emoji"]) / 2
+    value = F.greatest(F.lit(1), F.floor(F.get(F.transform(F.array(counted), weight), F.lit(0))))
     return F.when(n > 0, value).otherwise(0).cast("long")
 
 

@@ -102,11 +102,14 @@ def context(edges: DataFrame, name: str, depth: int) -> DataFrame:
 
 
 def render(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """name, depth, text: a line for each name with its first five callees and how many more there are."""
+    """name, depth, text: a line for each name with its first five callees and how many more there are. The indent is
+    the lesser of depth and the line's number in the order (depth, name)."""
     calls = edges.select(F.col("src_func").alias("name"), "dst_func").distinct().groupBy("name").agg(F.array_sort(F.collect_list("dst_func")).alias("calls"))
     n = F.size("calls")
     some = F.concat(F.lit(" -> "), F.array_join(F.slice("calls", 1, 5), ", "), F.when(n > 5, F.concat(F.lit(" (+"), (n - 5).cast("string"), F.lit(" more)"))).otherwise(""))
-    return found.join(calls, "name", "left").select("name", "depth", F.concat(F.repeat(F.lit("  "), F.col("depth")), "name", F.coalesce(some, F.lit(""))).alias("text"))
+    # a line of depth d has d lines before it at least, if each depth below has a name: breadth first search has no gaps
+    indent = F.repeat(F.lit("  "), F.col("depth"))
+    return found.join(calls, "name", "left").select("name", "depth", F.concat(indent, "name", F.coalesce(some, F.lit(""))).alias("text"))
 
 
 def resolve_calls(sites: DataFrame, bindings: DataFrame, index: DataFrame) -> DataFrame:
@@ -132,6 +135,23 @@ def patch(edges: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
     return edges.join(changed.select(F.col("file").alias("src_file")), "src_file", "left_anti").unionByName(fresh.join(changed.select(F.col("file").alias("src_file")), "src_file", "left_semi").select(edges.columns)).distinct()
 
 
+def tests_importing(imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """test, module of imports (test, module) that name a changed module (m) or something below it."""
+    # each import becomes its own dotted prefixes, so it is an equi-join
+    parts = F.split("module", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    return imports.withColumn("m", F.explode(prefixes)).join(modules.select("m").distinct(), "m").select("test", "module").distinct()
+
+
+def affected_tests(edges: DataFrame, changed: DataFrame, imports: DataFrame, modules: DataFrame, is_test, depth: int = 5) -> DataFrame:
+    """file, reason of test files that a change affects: changed themselves, with a caller of what changed, or importing a
+    changed module. changed: file; imports: test, module; modules: m. is_test: of a column file."""
+    direct = changed.where(is_test).select("file", F.lit("direct").alias("reason"))
+    callers = change_impact(edges, changed, is_test, depth).where("depth > 0").select("file", F.lit("caller").alias("reason"))
+    importing = tests_importing(imports, modules).select(F.col("test").alias("file"), F.lit("import").alias("reason"))
+    return direct.unionByName(callers).unionByName(importing).distinct()
+
+
 def change_impact(edges: DataFrame, changed: DataFrame, is_test, depth: int = 5) -> DataFrame:
     """Test functions among what changed files hold or what reaches it: file, func, depth. changed: file."""
     ends = edges.select(F.col("dst_file").alias("file"), F.col("dst_func").alias("func")).unionByName(edges.select(F.col("src_file").alias("file"), F.col("src_func").alias("func"))).distinct()

@@ -26,6 +26,17 @@ def savings(raw: Column, compact: Column) -> Column:
     return F.when(raw > 0, F.round((raw - compact) / raw * 100, 2)).otherwise(0.0)
 
 
+def hook_stats(calls: DataFrame) -> DataFrame:
+    """hook, invocations, successes, failures, success_rate (100 where nothing was counted), metrics (sums by key).
+    calls: hook, success, metrics (a map). Entries are summed before they meet in a map, so its size is the keys'."""
+    ok = F.count_if(F.coalesce("success", F.lit(False)))
+    rate = F.when(F.count("*") == 0, 100.0).otherwise(F.round(100.0 * ok / F.count("*"), 2))
+    totals = calls.groupBy("hook").agg(F.count("*").alias("invocations"), ok.alias("successes"), (F.count("*") - ok).alias("failures"), rate.alias("success_rate"))
+    sums = calls.select("hook", F.explode("metrics")).groupBy("hook", "key").agg(F.sum("value").alias("value"))
+    maps = sums.groupBy("hook").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("metrics"))
+    return totals.join(maps, "hook", "left")
+
+
 def triggers(events: DataFrame, threshold: int) -> DataFrame:
     """project, trigger, at: when a project's distinct dirty paths reach each multiple of threshold. events: project,
     path, ts, event_id."""

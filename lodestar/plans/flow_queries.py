@@ -61,15 +61,16 @@ def pdg_edges(spark, d):
     return facts(spark, d)[3]
 
 
-@query(WITH + """SELECT fn_id, count(DISTINCT block) AS nodes, coalesce(max(c), 0) AS control_edges, coalesce(max(x), 0) AS data_edges, count(DISTINCT name) AS variables, coalesce(max(c2), 0) - count(DISTINCT block) + 2 AS complexity
-FROM ref LEFT JOIN (SELECT fn_id AS f, sum((dep_type = 'control')::int)::bigint AS c, sum((dep_type = 'data')::int)::bigint AS x FROM pdg GROUP BY fn_id) ON f = fn_id LEFT JOIN (SELECT fn_id AS g, count(*) AS c2 FROM cfg GROUP BY fn_id) ON g = fn_id GROUP BY fn_id""")
+@query(WITH + """SELECT fn_id, count(DISTINCT block) AS nodes, coalesce(max(c), 0) AS control_edges, coalesce(max(x), 0) AS data_edges, count(DISTINCT name) AS variables, coalesce(max(c2), 0) + 1 AS complexity
+FROM ref LEFT JOIN (SELECT fn_id AS f, sum((dep_type = 'control')::int)::bigint AS c, sum((dep_type = 'data')::int)::bigint AS x FROM pdg GROUP BY fn_id) ON f = fn_id LEFT JOIN (SELECT fn_id AS g, sum(n - 1)::bigint AS c2 FROM (SELECT fn_id, src, count(*) AS n FROM cfg GROUP BY ALL) GROUP BY fn_id) ON g = fn_id GROUP BY fn_id""")
 def pdg_summary(spark, d):
     refs, owner, control, edges = facts(spark, d)
     nodes = refs.join(owner, ["fn_id", "line"]).groupBy("fn_id").agg(F.countDistinct("block").alias("nodes"), F.countDistinct("name").alias("variables"))
     kinds = edges.groupBy("fn_id").agg(F.count_if(F.col("dep_type") == "control").alias("control_edges"), F.count_if(F.col("dep_type") == "data").alias("data_edges"))
-    every = control.groupBy("fn_id").agg(F.count("*").alias("n"))
+    # decisions: ways out of a block beyond the first
+    every = control.groupBy("fn_id", "src").agg((F.count("*") - 1).alias("more")).groupBy("fn_id").agg(F.sum("more").alias("n"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return nodes.join(kinds, "fn_id", "left").join(every, "fn_id", "left").select("fn_id", "nodes", zero("control_edges").alias("control_edges"), zero("data_edges").alias("data_edges"), "variables", (zero("n") - F.col("nodes") + 2).alias("complexity"))
+    return nodes.join(kinds, "fn_id", "left").join(every, "fn_id", "left").select("fn_id", "nodes", zero("control_edges").alias("control_edges"), zero("data_edges").alias("data_edges"), "variables", (zero("n") + 1).alias("complexity"))
 
 
 @query(slice_sql(True))

@@ -4,27 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.functions.code import is_test
+from lodestar.functions.code import ENTRY_POINTS, is_test
 from lodestar.operators import graph
 from lodestar.plans.registry import query
 from lodestar.sources import tables
 from lodestar.sources.tables import table
 
 EDGES = """
-lines AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity >= 40),
-sup AS (SELECT *, 'nation/' || n_name AS s_file, 's' || s_suppkey AS s_fn FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-call_edge AS (
-  SELECT 'seg/' || c_mktsegment AS src_file, 'c' || c_custkey AS src_func, 'brand/' || p_brand AS dst_file, 'p' || p_partkey AS dst_func FROM lines JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'
-  UNION SELECT 'brand/' || p_brand, 'p' || p_partkey, s_file, s_fn FROM lines JOIN sup ON l_suppkey = s_suppkey WHERE o_orderstatus = 'P'
-  UNION SELECT s_file, s_fn, 'seg/' || c_mktsegment, 'c' || c_custkey FROM sup JOIN customer ON c_nationkey = s_nationkey AND c_custkey % 50 = s_suppkey % 50),
-back_edge AS (SELECT DISTINCT s_file AS src_file, s_fn AS src_func, 'brand/' || p_brand AS dst_file, 'p' || p_partkey AS dst_func FROM lineitem JOIN sup ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A' AND l_quantity >= 49),
-fn AS (SELECT 'seg/' || c_mktsegment AS file, 'c' || c_custkey AS name FROM customer UNION ALL SELECT 'brand/' || p_brand, 'p' || p_partkey FROM part UNION ALL SELECT s_file, s_fn FROM sup)
+sup AS (SELECT s_suppkey, s_nationkey, 'nation/' || n_name AS s_file, 's' || s_suppkey AS s_fn FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+lines AS (SELECT 'seg/' || c_mktsegment AS c_file, 'c' || c_custkey AS c_fn, 'brand/' || p_brand AS p_file, 'p' || p_partkey AS p_fn, s_file, s_fn, c_nationkey = s_nationkey AS home, l_returnflag
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey JOIN sup ON l_suppkey = s_suppkey),
+call_edge AS (SELECT c_file AS src_file, c_fn AS src_func, p_file AS dst_file, p_fn AS dst_func FROM lines UNION SELECT p_file, p_fn, s_file, s_fn FROM lines UNION SELECT s_file, s_fn, c_file, c_fn FROM lines WHERE home
+  UNION SELECT 'label/quality', 'q' || quality, 'doc/' || source, 'd' || doc_id FROM labels JOIN documents USING (doc_id)),
+back_edge AS (SELECT DISTINCT s_file AS src_file, s_fn AS src_func, p_file AS dst_file, p_fn AS dst_func FROM lines WHERE l_returnflag = 'R'),
+fn AS (SELECT 'seg/' || c_mktsegment AS file, 'c' || c_custkey AS name FROM customer UNION ALL SELECT 'brand/' || p_brand, 'p' || p_partkey FROM part UNION ALL SELECT s_file, s_fn FROM sup UNION ALL SELECT 'doc/' || source, 'd' || doc_id FROM documents)
 """
 WITH = "WITH RECURSIVE" + EDGES
 REACH = """, reach AS (SELECT s_file AS file, s_fn AS func, 0 AS depth FROM sup WHERE s_suppkey = 1
   UNION SELECT src_file, src_func, depth + 1 FROM reach JOIN call_edge ON dst_file = file AND dst_func = func WHERE depth < 3),
 nearest AS (SELECT file, func, min(depth) AS depth FROM reach GROUP BY ALL) """
-ENTRY = "(" + " OR ".join(f"contains(name, '{p}') OR contains(file, '{p}')" for p in ["main", "__main__", "cli", "app", "run", "start", "test_", "pytest_", "setup", "teardown"]) + " OR regexp_matches(name, '^__.*__$'))"
+ENTRY = "(" + " OR ".join(f"contains(name, '{p}') OR contains(file, '{p}')" for p in ENTRY_POINTS) + " OR regexp_matches(name, '^__.*__$'))"
 DEAD = f""", dead AS (SELECT file, name FROM fn WHERE NOT {ENTRY} AND NOT EXISTS (SELECT 1 FROM call_edge WHERE dst_file = file AND dst_func = name) AND NOT EXISTS (SELECT 1 FROM call_edge WHERE src_file = file AND src_func = name)) """
 
 
@@ -70,7 +69,7 @@ def context_bfs(spark, d):
 
 
 @query(WITH + CONTEXT + """, calls AS (SELECT src_func, list(dst_func ORDER BY dst_func) AS c FROM names GROUP BY src_func)
-SELECT name, depth, repeat('  ', depth::int) || name || coalesce(' -> ' || array_to_string(c[1:5], ', ') || CASE WHEN len(c) > 5 THEN ' (+' || (len(c) - 5) || ' more)' ELSE '' END, '') AS text FROM found LEFT JOIN calls ON src_func = name""")
+SELECT name, depth, repeat('  ', least(depth, row_number() OVER (ORDER BY depth, name) - 1)::int) || name || coalesce(' -> ' || array_to_string(c[1:5], ', ') || CASE WHEN len(c) > 5 THEN ' (+' || (len(c) - 5) || ' more)' ELSE '' END, '') AS text FROM found LEFT JOIN calls ON src_func = name""")
 def context_render(spark, d):
     edges = tables.call_edges(spark, d)
     return graph.render(graph.context(edges, "c1", 2), edges)
@@ -140,7 +139,7 @@ def unit_neighbours(spark, d):
 
 
 SITES = """, site AS (SELECT 'f' || (o_custkey % 97) AS file, 'c' || o_custkey AS caller, 'l' || (o_orderkey % 41) AS target FROM orders),
-binding AS (SELECT DISTINCT 'f' || (l_suppkey % 97) AS file, 'l' || (l_orderkey % 41) AS local_name, 'm' || (l_partkey % 7) || '.n' || (l_partkey % 13) AS module, 'p' || (l_partkey % 29) AS orig_name FROM lineitem WHERE l_quantity > 45),
+binding AS (SELECT DISTINCT 'f' || (l_suppkey % 97) AS file, 'l' || (l_orderkey % 41) AS local_name, 'm' || (l_partkey % 7) || '.n' || (l_partkey % 13) AS module, 'p' || (l_partkey % 29) AS orig_name FROM lineitem),
 idx AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'm' || (p_partkey % 7) || '.n' || (p_partkey % 13) ELSE 'x' || (p_partkey % 11) END AS module, CASE WHEN p_size % 3 = 0 THEN 'n' || (p_partkey % 13) ELSE 'z' || (p_partkey % 5) END AS simple_module, 'p' || (p_partkey % 29) AS name, 'src/' || p_brand || '/' || (p_partkey % 19) || '.py' AS file FROM part)"""
 
 
@@ -148,7 +147,7 @@ def sites(spark, d):
     part = lambda p, c, n: F.concat(F.lit(p), (F.col(c) % n).cast("string"))
     own = table(spark, d, "orders").select(part("f", "o_custkey", 97).alias("file"), F.concat(F.lit("c"), "o_custkey").alias("caller"), part("l", "o_orderkey", 41).alias("target"))
     dotted = F.concat(part("m", "l_partkey", 7), F.lit("."), part("n", "l_partkey", 13))
-    bindings = table(spark, d, "lineitem").where("l_quantity > 45").select(part("f", "l_suppkey", 97).alias("file"), part("l", "l_orderkey", 41).alias("local_name"), dotted.alias("module"), part("p", "l_partkey", 29).alias("orig_name")).distinct()
+    bindings = table(spark, d, "lineitem").select(part("f", "l_suppkey", 97).alias("file"), part("l", "l_orderkey", 41).alias("local_name"), dotted.alias("module"), part("p", "l_partkey", 29).alias("orig_name")).distinct()
     module = F.when(F.col("p_size") % 2 == 0, F.concat(part("m", "p_partkey", 7), F.lit("."), part("n", "p_partkey", 13))).otherwise(part("x", "p_partkey", 11))
     simple = F.when(F.col("p_size") % 3 == 0, part("n", "p_partkey", 13)).otherwise(part("z", "p_partkey", 5))
     index = table(spark, d, "part").select(module.alias("module"), simple.alias("simple_module"), part("p", "p_partkey", 29).alias("name"), F.concat(F.lit("src/"), "p_brand", F.lit("/"), (F.col("p_partkey") % 19).cast("string"), F.lit(".py")).alias("file"))

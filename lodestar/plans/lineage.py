@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _temporary: dict[str, str] = {}
 _paths = "_lodestar_path"
@@ -42,6 +43,20 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     return out
 
 
+_kept: dict[tuple[str, str], tuple[str, StructType]] = {}
+
+
+def once(spark: SparkSession, label: str, build) -> DataFrame:
+    """The table of that label, built and written at the first call in an application and only read later: facts that many
+    questions share. The label must name what the table is made of."""
+    key = (spark.sparkContext.applicationId, label)
+    if key not in _kept:
+        df = written(build(), "facts")
+        _kept[key] = getattr(df, _paths), df.schema
+    path, schema = _kept[key]
+    return spark.read.schema(schema).parquet(path)  # a new frame each time, so that it can be joined with itself
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes written tables that nothing reads any more. Others (and None) are left alone."""
     for df in tables:

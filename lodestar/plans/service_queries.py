@@ -13,37 +13,24 @@ from lodestar.sources import tables
 from lodestar.sources.tables import table
 
 DOT = "list_sum(list_transform(list_zip(e.embedding::double[], q.embedding::double[]), lambda z: z[1] * z[2]))"
-TOP = f"scored AS (SELECT e.vec_id, round(least(1.0, greatest(0.0, {DOT})), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q), top AS (SELECT * FROM scored ORDER BY score DESC, vec_id LIMIT 10)"
-
 
 def search(spark, d, chosen):
     units = table(spark, d, "embeddings")
     return vectors.top_k_each(units, units.where(chosen), 10)
 
 
-@query(f"WITH {TOP} SELECT * FROM top")
-def vector_topk(spark, d):
-    return search(spark, d, "vec_id = 0").select("vec_id", "score")
-
-
-@query(f"WITH {TOP} SELECT vec_id, score, lang, {tags_sql('text')} AS tags FROM top LEFT JOIN documents ON doc_id = vec_id")
-def vector_topk_expand(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "text")
-    return vector_topk(spark, d).join(docs, "vec_id", "left").select("vec_id", "score", "lang", F.array_join(code.semantic_tags(F.col("text")), ",").alias("tags"))
-
-
 ALL = f"scored AS (SELECT q.vec_id AS query_id, e.vec_id, round(least(1.0, greatest(0.0, {DOT})), 6) AS score FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) q), top AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10)"
 
 
 @query(f"WITH {ALL} SELECT query_id, vec_id, score FROM top")
-def vector_topk_all(spark, d):
+def vector_topk(spark, d):
     return search(spark, d, "vec_id % 100 = 0")
 
 
 @query(f"WITH {ALL} SELECT query_id, vec_id, score, lang, {tags_sql('text')} AS tags FROM top LEFT JOIN documents ON doc_id = vec_id")
-def vector_topk_expand_all(spark, d):
+def vector_topk_expand(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "text")
-    return vector_topk_all(spark, d).join(docs, "vec_id", "left").select("query_id", "vec_id", "score", "lang", F.array_join(code.semantic_tags(F.col("text")), ",").alias("tags"))
+    return vector_topk(spark, d).join(docs, "vec_id", "left").select("query_id", "vec_id", "score", "lang", F.array_join(code.semantic_tags(F.col("text")), ",").alias("tags"))
 
 
 @query("WITH t AS (SELECT vec_id, embedding[1:16]::double[] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM t) SELECT vec_id, round(v[1] / n, 6) AS first, round(list_sum(list_transform(v, lambda x: x / n)), 5) AS total FROM n")
@@ -117,11 +104,14 @@ def recent_sessions(spark, d):
     return table(spark, d, "events").select("user_id", "event_id", n.cast("long").alias("n")).where("n <= 3")
 
 
-@query("SELECT event_type AS hook, count(*) AS invocations, count(*) FILTER (value >= 10) AS successes, round(100.0 * count(*) FILTER (value >= 10) / count(*), 2) AS success_rate, sum((props::json->>'$.k')::bigint)::bigint AS k FROM events GROUP BY event_type")
+@query("WITH s AS (SELECT event_type AS hook, count(*) AS invocations, count(*) FILTER (value >= 10) AS successes FROM events GROUP BY event_type), m AS (SELECT event_type AS hook, key || '=' || sum(v)::bigint AS one FROM (SELECT event_type, unnest(['k', 'events', 'user_' || (user_id % 3)]) AS key, unnest([(props::json->>'$.k')::bigint, 1, user_id]) AS v FROM events) GROUP BY event_type, key) SELECT hook, invocations, successes, invocations - successes AS failures, CASE WHEN invocations = 0 THEN 100.0 ELSE round(100.0 * successes / invocations, 2) END AS success_rate, (SELECT string_agg(one, ',' ORDER BY one) FROM m WHERE m.hook = s.hook) AS metrics FROM s")
 def hook_stats(spark, d):
-    ok = F.count_if(F.col("value") >= 10)
-    metrics = table(spark, d, "events").withColumn("metric", F.from_json("props", "map<string,bigint>"))
-    return metrics.groupBy(F.col("event_type").alias("hook")).agg(F.count("*").alias("invocations"), ok.alias("successes"), F.round(100.0 * ok / F.count("*"), 2).alias("success_rate"), F.sum(F.try_element_at("metric", F.lit("k"))).alias("k"))
+    of_user = F.concat(F.lit("user_"), (F.col("user_id") % 3).cast("string"))
+    more = F.create_map(F.lit("events"), F.lit(1).cast("bigint"), of_user, F.col("user_id"))
+    metrics = F.map_concat(F.from_json("props", "map<string,bigint>"), more)
+    calls = table(spark, d, "events").select(F.col("event_type").alias("hook"), (F.col("value") >= 10).alias("success"), metrics.alias("metrics"))
+    one = F.transform(F.map_entries("metrics"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return store.hook_stats(calls).withColumn("metrics", F.array_join(F.array_sort(one), ","))
 
 
 @query("WITH daily AS (SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY ALL), d AS (SELECT event_type, day, n, greatest(0, n - lag(n, 1, 0) OVER (PARTITION BY event_type ORDER BY day)) AS delta FROM daily) SELECT event_type, strftime(day, '%Y-%m-%d') AS day, delta FROM d WHERE delta > 0")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions import code
+from lodestar.operators import graph
 from lodestar.plans.registry import query
 from lodestar.sources import tables
 from lodestar.sources.tables import table
@@ -49,10 +50,9 @@ def count_sql(words: str) -> str:
     return f"len(list_filter(string_split(regexp_replace(text, '[^A-Za-z0-9_]+', ' ', 'g'), ' '), lambda t: t IN ({', '.join(repr(w) for w in words.split('|'))})))"
 
 
-@query(f"SELECT doc_id, list_max(list_transform(string_split(text, chr(10)), lambda l: length(replace(regexp_extract(l, '^([ \\t]*)[^ \\t]', 1), chr(9), '    ')) // 4)) AS depth, {count_sql(code.BRANCHES + '|in|de')} AS branches, {count_sql(code.LOOPS)} AS loops FROM documents")
+@query(f"SELECT doc_id, list_max(list_transform(string_split(text, chr(10)), lambda l: length(replace(regexp_extract(l, '^([ \\t]*)[^ \\t]', 1), chr(9), '    ')) // 4)) AS depth, {count_sql(code.BRANCHES)} AS branches, {count_sql(code.LOOPS)} AS loops FROM documents")
 def text_complexity(spark, d):
-    # the texts have no code; two frequent words count as branches too
-    return table(spark, d, "documents").select("doc_id", code.max_depth(F.col("text")).alias("depth"), code.count_words(F.col("text"), code.BRANCHES + "|in|de").alias("branches"), code.count_words(F.col("text"), code.LOOPS).alias("loops"))
+    return table(spark, d, "documents").select("doc_id", code.max_depth(F.col("text")).alias("depth"), code.count_words(F.col("text"), code.BRANCHES).alias("branches"), code.count_words(F.col("text"), code.LOOPS).alias("loops"))
 
 
 ESTIMATE = "CASE WHEN length({0}) = 0 THEN 0 ELSE greatest(1, floor(length(regexp_replace({0}, '[^\\x00-\\x7F]', '', 'g')) / 4 + (length({0}) - length(regexp_replace({0}, '[^\\x00-\\x7F]', '', 'g'))) / 2))::bigint END"
@@ -75,19 +75,12 @@ def identifier_words(spark, d):
     return table(spark, d, "part").select("p_partkey", code.identifier_words(name).alias("words"))
 
 
-@query(f"WITH {DOCS}, u AS (SELECT doc_id, path, text, lang FROM docs JOIN embeddings ON doc_id = vec_id) SELECT doc_id, concat_ws(chr(10), 'Name: ' || path, 'Language: ' || lang, CASE WHEN {tags_sql('text')} <> '' THEN 'Tags: ' || {tags_sql('text')} END, 'Code:', left(text, 400)) AS unit_text FROM u")
-def embedding_text(spark, d):
-    units = tables.document_paths(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
-    tags = F.array_join(code.semantic_tags(F.col("text")), ",")
-    return units.select("doc_id", F.concat_ws("\n", F.concat(F.lit("Name: "), "path"), F.concat(F.lit("Language: "), "lang"), F.when(tags != "", F.concat(F.lit("Tags: "), tags)), F.lit("Code:"), F.substring("text", 1, 400)).alias("unit_text"))
-
-
 MOST_TOKENS = 8192
 UNIT = f"{DOCS}, u AS (SELECT doc_id, concat_ws(chr(10), 'Name: ' || path, 'Language: ' || lang, CASE WHEN {tags_sql('text')} <> '' THEN 'Tags: ' || {tags_sql('text')} END, 'Code:', text) AS t FROM docs JOIN embeddings ON doc_id = vec_id), l AS (SELECT doc_id, t FROM u WHERE {ESTIMATE.format('t')} > {MOST_TOKENS}), c AS (SELECT doc_id, unnest(range(1, length(t) + 1)) AS i, unnest(string_split(t, '')) AS c FROM l), w AS (SELECT doc_id, i, sum(CASE WHEN unicode(c) < 128 THEN 1 ELSE 2 END) OVER (PARTITION BY doc_id ORDER BY i) AS w FROM c), n AS (SELECT doc_id, max(i) AS n FROM w WHERE w // 4 <= {MOST_TOKENS} GROUP BY doc_id)"
 
 
 @query(f"WITH {UNIT} SELECT doc_id, CASE WHEN n IS NULL THEN t ELSE left(t, n) END AS unit_text FROM u LEFT JOIN n USING (doc_id)")
-def embedding_text_whole(spark, d):
+def embedding_text(spark, d):
     units = tables.document_paths(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
     tags = F.array_join(code.semantic_tags(F.col("text")), ",")
     whole = F.concat_ws("\n", F.concat(F.lit("Name: "), "path"), F.concat(F.lit("Language: "), "lang"), F.when(tags != "", F.concat(F.lit("Tags: "), tags)), F.lit("Code:"), "text")
@@ -157,11 +150,11 @@ def importers(spark, d):
     return tables.page_imports(spark, d).where(code.module_matches(F.lit("src/the"), F.col("module")))
 
 
-@query(f"WITH {IMPORTS}, t AS (SELECT DISTINCT 'tests/' || file AS test, ltrim(module, '/') AS module FROM imp), c AS (SELECT 't' AS m UNION SELECT 'the' UNION SELECT 'an') SELECT test, count(*) AS n_imports FROM t JOIN c ON module = m OR starts_with(module, m || 'e') GROUP BY test")
+@query(f"WITH {IMPORTS}, t AS (SELECT DISTINCT 'tests/' || file AS test, lower(ltrim(module, '/')) || '.' || left(lower(ltrim(module, '/')), 1) AS module FROM imp), c AS (SELECT 'the' AS m UNION SELECT 'and' UNION SELECT 'of.o') SELECT DISTINCT test, module FROM t JOIN c ON module = m OR starts_with(module, m || '.')")
 def tests_importing(spark, d):
-    tests = tables.page_imports(spark, d).select(F.concat(F.lit("tests/"), "file").alias("test"), F.regexp_replace("module", "^/+", "").alias("module")).distinct()
-    changed = F.broadcast(spark.createDataFrame([("t",), ("the",), ("an",)], "m string"))  # a change list
-    return tests.join(changed, (F.col("module") == F.col("m")) | F.startswith("module", F.concat("m", F.lit("e")))).groupBy("test").agg(F.count("*").alias("n_imports"))
+    low = F.lower(F.regexp_replace("module", "^/+", ""))
+    tests = tables.page_imports(spark, d).select(F.concat(F.lit("tests/"), "file").alias("test"), F.concat_ws(".", low, F.substring(low, 1, 1)).alias("module")).distinct()
+    return graph.tests_importing(tests, spark.createDataFrame([("the",), ("and",), ("of.o",)], "m string"))
 
 
 NESTED = "SELECT o_custkey AS file, o_orderkey AS name, o_orderpriority AS params, o_orderstatus AS kind FROM orders"

@@ -6,9 +6,13 @@ code) feed them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.plans.lineage import once
+
 #: Directories that hold no source of the project itself.
 SKIPPED = ["node_modules", "__pycache__", ".git", ".svn", ".hg", "dist", "build", ".next", ".nuxt", "coverage", ".tox", "venv", ".venv", "env", ".env", "vendor", ".cache"]
 
@@ -21,7 +25,7 @@ def source_files(spark: SparkSession, root: str, extensions: list[str], largest:
     """path, size, mtime, content of the source files under root; size and extension prune before contents are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}").load(root)
     binary = F.instr(F.decode(F.substring("content", 1, 8192), "ISO-8859-1"), "\0") > 0
-    return files.where((F.col("length") <= largest) & is_source(F.regexp_replace("path", f"^.*?{root.rstrip('/')}/", ""))).where(~binary).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
+    return files.where((F.col("length") <= largest) & is_source(F.regexp_replace("path", rf"^(?:[a-z0-9]+:)?/*{re.escape(root.split(':')[-1].strip('/'))}/", ""))).where(~binary).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
 
 
 def is_source(path: Column, skip_hidden: bool = True) -> Column:
@@ -31,40 +35,65 @@ def is_source(path: Column, skip_hidden: bool = True) -> Column:
     return ~F.exists(parts, bad)
 
 
-def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src_file, src_func, dst_file, dst_func: customers call parts, parts suppliers, suppliers customers."""
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """s_suppkey, s_nationkey, file, func."""
+    joined = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return joined.select("s_suppkey", "s_nationkey", F.concat(F.lit("nation/"), "n_name").alias("s_file"), F.concat(F.lit("s"), "s_suppkey").alias("s_func"))
+
+
+def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with the functions of its customer, part and supplier."""
     t = lambda n: table(spark, sf_dir, n)
-    lines = t("lineitem").where("l_returnflag = 'R' and l_quantity >= 40").join(t("orders").where("o_orderstatus in ('F', 'P')"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    customer = [F.concat(F.lit("seg/"), "c_mktsegment"), F.concat(F.lit("c"), "c_custkey")]
-    part = [F.concat(F.lit("brand/"), "p_brand"), F.concat(F.lit("p"), "p_partkey")]
-    suppliers = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    supplier = [F.concat(F.lit("nation/"), "n_name"), F.concat(F.lit("s"), "s_suppkey")]
-    edge = lambda df, a, b: df.select(a[0].alias("src_file"), a[1].alias("src_func"), b[0].alias("dst_file"), b[1].alias("dst_func"))
-    first = edge(lines.where("o_orderstatus = 'F'").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")), customer, part)
-    second = edge(lines.where("o_orderstatus = 'P'").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")), part, supplier)
-    third = edge(suppliers.join(t("customer"), (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_custkey") % 50 == F.col("s_suppkey") % 50)), supplier, customer)
-    return first.unionByName(second).unionByName(third).distinct()
+    part = t("part").select("p_partkey", F.concat(F.lit("brand/"), "p_brand").alias("p_file"), F.concat(F.lit("p"), "p_partkey").alias("p_func"))
+    names = F.concat(F.lit("seg/"), "c_mktsegment").alias("c_file"), F.concat(F.lit("c"), "c_custkey").alias("c_func")
+    customer = t("customer").select("c_custkey", "c_nationkey", *names)
+    orders = t("orders").select("o_orderkey", "o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return joined.join(suppliers(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+def _edge(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.select(F.col(f"{a}_file").alias("src_file"), F.col(f"{a}_func").alias("src_func"), F.col(f"{b}_file").alias("dst_file"), F.col(f"{b}_func").alias("dst_func"))
+
+
+def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src_file, src_func, dst_file, dst_func, from all lines: customers call parts, parts suppliers, suppliers the
+    customers of their own nation; labels call documents. Built once in an application, by callee."""
+
+    def build() -> DataFrame:
+        lines = shipments(spark, sf_dir)
+        docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc/"), "source").alias("d_file"), F.concat(F.lit("d"), "doc_id").alias("d_func"))
+        labels = table(spark, sf_dir, "labels").select("doc_id", F.lit("label/quality").alias("q_file"), F.concat(F.lit("q"), "quality").alias("q_func"))
+        families = [_edge(lines, "c", "p"), _edge(lines, "p", "s"), _edge(lines.where("c_nationkey = s_nationkey"), "s", "c")]
+        whole = _edge(labels.join(docs, "doc_id"), "q", "d")
+        for family in families:
+            whole = whole.unionByName(family)
+        return whole.distinct()
+
+    return once(spark, f"call_edges of {sf_dir}", build)
 
 
 def back_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """More edges, from suppliers to parts: with call_edges they make files that call each other."""
-    t = lambda n: table(spark, sf_dir, n)
-    lines = t("lineitem").where("l_returnflag = 'A' and l_quantity >= 49")
-    suppliers = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    joined = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    return joined.select(F.concat(F.lit("nation/"), "n_name").alias("src_file"), F.concat(F.lit("s"), "s_suppkey").alias("src_func"), F.concat(F.lit("brand/"), "p_brand").alias("dst_file"), F.concat(F.lit("p"), "p_partkey").alias("dst_func")).distinct()
+    """More edges: suppliers call the parts that came back. With call_edges they make files that call each other."""
+    return once(spark, f"back_edges of {sf_dir}", lambda: _edge(shipments(spark, sf_dir).where("l_returnflag = 'R'"), "s", "p").distinct())
 
 
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file, name: every customer, part and supplier."""
+    """file, name: every customer, part, supplier and document. Documents without a label are called by nothing."""
     t = lambda n: table(spark, sf_dir, n)
-    suppliers = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     named = lambda df, a, b, p: df.select(F.concat(F.lit(a[0]), a[1]).alias("file"), F.concat(F.lit(p), b).alias("name"))
-    return named(t("customer"), ("seg/", "c_mktsegment"), "c_custkey", "c").unionByName(named(t("part"), ("brand/", "p_brand"), "p_partkey", "p")).unionByName(named(suppliers, ("nation/", "n_name"), "s_suppkey", "s"))
+    first = named(t("customer"), ("seg/", "c_mktsegment"), "c_custkey", "c").unionByName(named(t("part"), ("brand/", "p_brand"), "p_partkey", "p"))
+    more = suppliers(spark, sf_dir).select(F.col("s_file").alias("file"), F.col("s_func").alias("name"))
+    return first.unionByName(more).unionByName(named(t("documents"), ("doc/", "source"), "doc_id", "d"))
 
 
 def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as lines of a function: fn_id, line, k, kind of reference, block."""
+    """Events as lines of a function: fn_id, line, k, kind of reference, block. Numbered once in an application."""
+    return once(spark, f"numbered_events of {sf_dir}", lambda: _numbered(spark, sf_dir))
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     in_order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     kind = F.when(F.col("event_type").isin("signup", "purchase"), "definition").when(F.col("event_type") == "error", "update").otherwise("use")
     k = F.get_json_object("props", "$.k").cast("int")
