@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from lodestar.plans import flow_queries, graph_queries, service_queries, text_queries  # noqa: F401
+    from lodestar.plans import code_queries, flow_queries, graph_queries, service_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
