@@ -5,7 +5,7 @@ letter to a mark: a text falls into pre-tokens (marks and what follows up to the
 
 One pass makes the table of distinct pre-tokens with the number of documents that have them; the pieces of each are
 counted once, there. A second pass makes each document's pre-token frequencies and joins them to that table: the frequent
-pre-tokens, at most ``frequent`` of at most ``longest`` characters (a bound of some tens of megabytes), are broadcast and joined
+pre-tokens, at most ``frequent`` of at most ``longest`` characters (a bound of some megabytes), are broadcast and joined
 where the document is read; what is left, if anything, is joined by a shuffle of the rare pre-tokens only. So no frequent
 word is a hot key, and no list of ids is made.
 
@@ -83,9 +83,9 @@ def pre_token_table(docs: DataFrame, path: str, entries: int = 400_000) -> DataF
 
 def frequent_counts(counted: DataFrame, frequent: int, longest: int) -> tuple[dict[str, int], bool]:
     """Pieces of the pre-tokens that most documents have, at most so many; and if others are left."""
-    level = F.floor(F.log2("n_docs")).cast("int")
+    level = F.floor(8 * F.log2("n_docs")).cast("int")
     short = F.length("pre_token") <= longest
-    sizes = sorted(((r[0], r[1]) for r in counted.where(short).groupBy(level).count().collect()), reverse=True)  # 64 rows at most
+    sizes = sorted(((r[0], r[1]) for r in counted.where(short).groupBy(level).count().collect()), reverse=True)  # 512 rows at most
     total = counted.count()
     least, n = None, 0
     for at, size in sizes:
@@ -94,10 +94,11 @@ def frequent_counts(counted: DataFrame, frequent: int, longest: int) -> tuple[di
         least, n = at, n + size
     if least is None:
         return {}, total > 0
-    return {r[0]: r[1] for r in counted.where(short & (level >= least)).select("pre_token", "n_pieces").collect()}, n < total
+    found = counted.where(short & (level >= least)).select("pre_token", "n_pieces").toArrow()
+    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist())), n < total
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 4096, frequent: int = 1_000_000, longest: int = 80) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, limit: int = 4096, frequent: int = 400_000, longest: int = 80) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than limit tokens)."""
     counted = stored(pre_token_table(docs, path), "pre_tokens")
     known, others = frequent_counts(counted, frequent, longest)

@@ -57,7 +57,7 @@ def test_forced_boundaries_are_in_no_token():
 def test_token_counts_are_the_librarys(docs):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     expected = sorted((str(i), len(t.encode()), len(library.encode(t)), len(library.encode(t)) > 4096) for i, t in texts_of(docs))
-    for frequent in (1_000_000, 100, 0):  # all by broadcast, some, all by shuffle
+    for frequent in (400_000, 100, 0):  # all by broadcast, some, all by shuffle
         assert sorted((str(r[0]), *r[1:]) for r in tokencount.count_tokens(docs, PIECE, frequent=frequent).collect()) == expected
     table = {r["pre_token"]: r for r in tokencount.pre_token_table(docs, PIECE, entries=50).collect()}
     assert table["▁漢字🙂"]["n_docs"] == 1 and max(r["n_docs"] for r in table.values()) > 5
