@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,11 +41,31 @@ def hook_stats(calls: DataFrame) -> DataFrame:
 
 
 def triggers(events: DataFrame, threshold: int) -> DataFrame:
-    """project, trigger, at: when a project's distinct dirty paths reach each multiple of threshold. events: project,
-    path, ts, event_id."""
-    first = events.groupBy("project", "path").agg(F.min(F.struct("ts", "event_id")).alias("first"))
-    n = F.row_number().over(Window.partitionBy("project").orderBy("first"))
-    return first.withColumn("n", n).where(F.col("n") % threshold == 0).select("project", (F.col("n") / threshold).cast("long").alias("trigger"), F.col("first.ts").alias("at"))
+    """project, trigger, at: each time that a project's distinct dirty paths since its last trigger reach threshold; a
+    trigger clears them. events: project, path, ts, event_id. Null paths do not count.
+
+    Where a trigger falls depends on all before it, so a project's events go by in their order; what is held is fewer than
+    threshold paths, whatever their number (the sort spills).
+    """
+    kinds = dict(events.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project, dirty, done = None, set(), 0
+        for batch in batches:
+            places, numbers = [], []
+            for i, (own, path) in enumerate(zip(batch.column("project").to_pylist(), batch.column("path").to_pylist())):
+                if own != project:
+                    project, dirty, done = own, set(), 0
+                dirty.add(path)
+                if len(dirty) == threshold:
+                    done, dirty = done + 1, set()
+                    places.append(i)
+                    numbers.append(done)
+            fired = batch.take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays([fired.column("project"), pa.array(numbers, pa.int64()), fired.column("ts")], names=["project", "trigger", "at"])
+
+    ordered = events.where("path is not null").select("project", "path", "ts", "event_id").repartition("project").sortWithinPartitions("project", "ts", "event_id")
+    return ordered.mapInArrow(run, f"project {kinds['project']}, trigger long, at {kinds['ts']}")
 
 
 def idle_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:

@@ -50,6 +50,11 @@ def top_k_each(units: DataFrame, queries: DataFrame, k: int, vector: str = "embe
     return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
-def batch_memory(tokens: Column, batch: Column, hidden: int = 1024, layers: int = 28, bytes_each: int = 2, margin: float = 1.15) -> Column:
-    """Estimated bytes of a batch: activations, and attention by pairs of tokens."""
-    return F.round((tokens * batch * hidden * 4 + batch * tokens * tokens * layers) * bytes_each * margin, 0).cast("long")
+def batch_memory(tokens: Column, batch: Column, flash: bool = False, hidden: int = 1024, heads: int = 16, inner_size: int = 3072, output: int = 1024, bytes_each: int = 2, margin: float = 1.15) -> Column:
+    """Estimated bytes of a batch whose longest text has that many tokens: attention (all pairs of tokens by head, or with
+    flash two buffers of the tokens), input, gate and up of the inner layer, residuals, output, keys and values. An empty
+    batch needs none; null where there is no token. Sizes are those of the default model of 0.6B parameters."""
+    n, b = tokens.cast("double"), batch.cast("double")
+    attention = b * n * (2 * hidden) if flash else b * heads * n * n
+    values = attention + b * n * hidden + b * n * (2 * inner_size) + b * n * (2 * hidden) + b * output + b * n * (2 * hidden)
+    return F.when(b == 0, 0).when(n > 0, F.floor(values * bytes_each * margin)).cast("long")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import code
-from lodestar.operators import diagnostics, store, vectors
+from lodestar.operators import batches, diagnostics, store, vectors
 from lodestar.plans.registry import query
 from lodestar.plans.text_queries import ESTIMATE, tags_sql
 from lodestar.sources import tables
@@ -39,9 +39,26 @@ def vector_truncate(spark, d):
     return table(spark, d, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-@query(f"WITH t AS (SELECT doc_id, {ESTIMATE.format('text')} AS n FROM documents) SELECT doc_id, round((n * 8 * 1024 * 4 + 8 * n * n * 28) * 2 * 1.15, 0)::bigint AS bytes FROM t")
+MEMORY = "CASE WHEN n > 0 THEN floor(({} + 8 * n * 1024 + 8 * n * 3072 * 2 + 8 * n * 1024 * 2 + 8 * 1024 + 2 * 8 * n * 1024) * 2 * 1.15::double)::bigint END"
+
+
+@query(f"WITH t AS (SELECT doc_id, {ESTIMATE.format('text')}::double AS n FROM documents) SELECT doc_id, {MEMORY.format('8 * 16 * n * n')} AS bytes, {MEMORY.format('8 * 16 * n * 64 * 2')} AS flash_bytes FROM t")
 def batch_memory(spark, d):
-    return table(spark, d, "documents").select("doc_id", vectors.batch_memory(code.token_estimate(F.col("text")).cast("double"), F.lit(8)).alias("bytes"))
+    tokens = table(spark, d, "documents").select("doc_id", code.token_estimate(F.col("text")).alias("n"))
+    return tokens.select("doc_id", vectors.batch_memory(F.col("n"), F.lit(8)).alias("bytes"), vectors.batch_memory(F.col("n"), F.lit(8), flash=True).alias("flash_bytes"))
+
+
+BUDGET = 65536
+
+
+@query(
+    f"WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, tokens, row_number() OVER (ORDER BY tokens DESC, doc_id) AS n FROM (SELECT doc_id, ({ESTIMATE.format('text')})::bigint AS tokens FROM documents)), "
+    "walk AS (SELECT 0::bigint AS n, 0::bigint AS doc_id, 0::bigint AS tokens, 0::bigint AS batch, 0::bigint AS total UNION ALL "
+    f"SELECT t.n, t.doc_id, t.tokens, w.batch + (w.n > 0 AND w.total + t.tokens > {BUDGET})::bigint, CASE WHEN w.n > 0 AND w.total + t.tokens > {BUDGET} THEN t.tokens ELSE w.total + t.tokens END FROM walk w JOIN t ON t.n = w.n + 1) "
+    "SELECT doc_id, tokens, batch FROM walk WHERE n > 0"
+)
+def token_batches(spark, d):
+    return batches.token_budget(table(spark, d, "documents").select("doc_id", code.token_estimate(F.col("text")).alias("tokens")), BUDGET)
 
 
 @query("SELECT count(*) AS total_files, count(DISTINCT sha1(text)) AS unique_hashes, count(*) - count(DISTINCT sha1(text)) AS dedup_savings FROM documents")
@@ -153,7 +170,13 @@ def file_events(spark, d):
     return table(spark, d, "events").select((F.col("user_id") % 20).alias("project"), F.get_json_object("props", "$.k").alias("path"), "ts", "event_id")
 
 
-@query("WITH f AS (SELECT user_id % 20 AS project, props::json->>'$.k' AS path, ts, event_id FROM events), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, path ORDER BY ts, event_id) AS r FROM f) WHERE r = 1), n AS (SELECT project, ts, row_number() OVER (PARTITION BY project ORDER BY ts, event_id) AS n FROM o) SELECT project, n // 20 AS trigger, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM n WHERE n % 20 = 0")
+@query(
+    "WITH RECURSIVE f AS MATERIALIZED (SELECT user_id % 20 AS project, props::json->>'$.k' AS path, ts, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS n FROM events WHERE props::json->>'$.k' IS NOT NULL), "
+    "walk AS (SELECT DISTINCT project, 0::bigint AS n, []::varchar[] AS dirty, 0::bigint AS trigger, NULL::timestamp AS fired FROM f UNION ALL "
+    "SELECT f.project, f.n, CASE WHEN list_contains(w.dirty, f.path) THEN w.dirty WHEN len(w.dirty) = 19 THEN []::varchar[] ELSE list_append(w.dirty, f.path) END, "
+    "w.trigger + (NOT list_contains(w.dirty, f.path) AND len(w.dirty) = 19)::bigint, CASE WHEN NOT list_contains(w.dirty, f.path) AND len(w.dirty) = 19 THEN f.ts END FROM walk w JOIN f ON f.project = w.project AND f.n = w.n + 1) "
+    "SELECT project, trigger, strftime(fired, '%Y-%m-%d %H:%M:%S') AS at FROM walk WHERE fired IS NOT NULL"
+)
 def reindex_triggers(spark, d):
     return store.triggers(file_events(spark, d), 20).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
 

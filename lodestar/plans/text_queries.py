@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.functions import code
+from lodestar.functions import code, ignore
 from lodestar.operators import graph
 from lodestar.plans.registry import query
 from lodestar.sources import tables
@@ -186,3 +186,13 @@ def signatures(spark, d):
     lang = F.get(F.array(*map(F.lit, LANGS)), (F.col("p_partkey") % 7).cast("int"))
     own = code.signature(lang, F.concat(F.lit("f"), "p_partkey"), F.array(F.lit("a"), F.lit("b")), F.when(F.col("p_size") % 2 == 0, "int"), F.lit(False))
     return table(spark, d, "part").select("p_partkey", own.alias("signature"))
+
+
+#: French texts but those whose number ends in 7; German ones whose number begins with 1; two-digit numbers that end in 2.
+IGNORED = ["# an example", "*.fr", "!*7.fr", "/*/1*.de", "**/?2.*"]
+
+
+@query("SELECT source || '/' || doc_id || '.' || lang AS path, (lang = 'fr' AND doc_id % 10 <> 7) OR (lang = 'de' AND left(doc_id::varchar, 1) = '1') OR (doc_id BETWEEN 10 AND 99 AND doc_id % 10 = 2) AS ignored FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def ignored_paths(spark, d):
+    paths = tables.document_paths(spark, d).where("lang is not null and source is not null")
+    return paths.select("path", ignore.is_ignored(F.col("path"), IGNORED).alias("ignored"))

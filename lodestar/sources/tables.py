@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions import ignore
 from lodestar.plans.lineage import once
 
 #: Directories that hold no source of the project itself.
@@ -21,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def source_files(spark: SparkSession, root: str, extensions: list[str], largest: int = 5_000_000) -> DataFrame:
-    """path, size, mtime, content of the source files under root; size and extension prune before contents are read."""
+def source_files(spark: SparkSession, root: str, extensions: list[str], largest: int = 5_000_000, ignored: list[str] | None = None) -> DataFrame:
+    """path, size, mtime, content of the source files under root; size and extension prune before contents are read. ignored:
+    lines of an ignore file (``ignore.patterns_of``)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}").load(root)
     binary = F.instr(F.decode(F.substring("content", 1, 8192), "ISO-8859-1"), "\0") > 0
-    return files.where((F.col("length") <= largest) & is_source(F.regexp_replace("path", rf"^(?:[a-z0-9]+:)?/*{re.escape(root.split(':')[-1].strip('/'))}/", ""))).where(~binary).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
+    inside = F.regexp_replace("path", rf"^(?:[a-z0-9]+:)?/*{re.escape(root.split(':')[-1].strip('/'))}/", "")
+    return files.where((F.col("length") <= largest) & is_source(inside) & ~ignore.is_ignored(inside, ignored or [])).where(~binary).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
 
 
 def is_source(path: Column, skip_hidden: bool = True) -> Column:

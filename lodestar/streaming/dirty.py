@@ -13,27 +13,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def reindex_triggers(events: DataFrame, threshold: int = 20) -> DataFrame:
     """project, trigger, n_paths of a stream (project, path, ts): a row each time a project's distinct dirty paths
-    since its last trigger reach threshold. Paths of a trigger do not count again. State: the
-    distinct paths of a project."""
+    since its last trigger reach threshold; a trigger clears them. Null paths do not count. State: fewer than threshold
+    paths of a project."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, dirty, seen = state.get if state.exists else (0, [], [])
-        dirty, seen = list(dirty), set(seen)
+        done, dirty = state.get if state.exists else (0, [])
+        dirty = list(dirty)
         out: list[tuple[Any, int, int]] = []
         rows = pd.concat(list(batches)).sort_values(["ts", "path"])
-        for path in rows["path"]:
-            if path in seen or path in dirty:
+        for path in rows["path"].dropna():
+            if path in dirty:
                 continue
             dirty.append(path)
             if len(dirty) == threshold:
                 done += 1
                 out.append((key[0], done, threshold))
-                seen.update(dirty)
                 dirty = []
-        state.update((done, dirty, sorted(seen)))
+        state.update((done, dirty))
         yield pd.DataFrame(out, columns=["project", "trigger", "n_paths"])
 
-    return events.groupBy("project").applyInPandasWithState(step, "project long, trigger long, n_paths long", "done long, dirty array<string>, seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("project").applyInPandasWithState(step, "project long, trigger long, n_paths long", "done long, dirty array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def idle_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

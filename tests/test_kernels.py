@@ -4,8 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from lodestar.functions import code
-from lodestar.operators import diagnostics, flow, graph, store, vectors
+from lodestar.functions import code, ignore
+from lodestar.operators import batches, diagnostics, flow, graph, store, vectors
 from lodestar.sources import python_source
 from lodestar.streaming import dirty
 
@@ -174,3 +174,51 @@ def test_top_k_of_every_query_across_blocks(spark):
     score = lambda a, b: round(min(1.0, max(0.0, sum(x * y for x, y in zip(found[a], found[b])))), 6)
     assert rows(got, "query_id", "vec_id") == sorted((q, u) for q in range(0, 90, 10) for u in sorted(found, key=lambda u: (-score(q, u), u))[:5])
     assert vectors.top_k_each(units.limit(0), units.limit(0), 5).count() == 0
+
+
+def test_a_trigger_clears_the_dirty_paths(spark):
+    base = dt.datetime(2024, 1, 1)
+    paths = ["a", "b", "a", "c", "a", None, "b", "b", "c", "a"]
+    data = [(p, path, base + dt.timedelta(minutes=i), i) for p in (1, 2) for i, path in enumerate(paths)]
+    events = spark.createDataFrame(data, "project long, path string, ts timestamp, event_id long")
+    # a b c | a b c | a
+    assert rows(store.triggers(events, 3), "project", "trigger", "at") == [(p, n, base + dt.timedelta(minutes=at)) for p in (1, 2) for n, at in ((1, 3), (2, 8))]
+    assert store.triggers(events.limit(0), 3).count() == 0
+
+
+def test_memory_of_a_batch_by_hand(spark):
+    df = spark.createDataFrame([(512, 8), (512, 0), (0, 8)], "n long, b long")
+    got = [tuple(r) for r in df.select(vectors.batch_memory(df.n, df.b), vectors.batch_memory(df.n, df.b, flash=True)).collect()]
+    others = 8 * 512 * 1024 + 8 * 512 * 3072 * 2 + 8 * 512 * 1024 * 2 + 8 * 1024 + 2 * 8 * 512 * 1024
+    assert got == [(int((8 * 16 * 512 * 512 + others) * 2 * 1.15), int((8 * 16 * 512 * 64 * 2 + others) * 2 * 1.15)), (0, 0), (None, None)]
+
+
+def test_token_batches_equal_one_pass(spark):
+    sizes = [(i * 37) % 19 for i in range(300)] + [0] * 50 + [7] * 200 + [120, 100, 101] + [100] * 3
+    items = spark.createDataFrame([*enumerate(sizes), (len(sizes), None)], "doc_id long, tokens long")
+    expected, batch, total = [], -1, None
+    for size, i in sorted(((t or 0, i) for i, t in [*enumerate(sizes), (len(sizes), None)]), key=lambda x: (-x[0], x[1])):
+        if total is None or total + size > 100:
+            batch, total = batch + 1, 0
+        total += size
+        expected.append((i, size, batch))
+    assert rows(batches.token_budget(items, 100), "doc_id", "tokens", "batch") == sorted(expected)
+    assert batches.token_budget(items.limit(0), 100).count() == 0
+
+
+IGNORE_CASES = [
+    (["build/"], "build/a.o", True), (["build/"], "x/build/y/z", True), (["build/"], "build", False), (["/build/"], "x/build/y", False),
+    (["*.log"], "a/b.log", True), (["*.log"], "a/b.log.txt", False), (["*.log"], "b.log/c", True), (["a/*.c"], "x/a/b.c", False), (["a/*.c"], "a/b/c.c", False),
+    (["a/**/z"], "a/z", True), (["a/**/z"], "a/b/c/z", True), (["**/z"], "q/z", True), (["**/z"], "z", True), (["a/**"], "a/b/c", True), (["a/**"], "a", False),
+    (["*.py", "!keep.py"], "x/keep.py", False), (["!keep.py", "*.py"], "keep.py", True), (["# no", "", "  "], "# no", False), (["\\#x"], "#x", True), (["\\!x"], "!x", True),
+    (["[ab]?.t"], "ax.t", True), (["[!ab]?.t"], "ax.t", False), (["a.b+"], "a.b+", True), (["a.b+"], "axbb", False), (["x  "], "x", True), ([], "x", False),
+]
+
+
+def test_ignore_patterns(spark):
+    df = spark.createDataFrame([(p,) for _, p, _ in IGNORE_CASES], "path string")
+    for patterns, path, expected in IGNORE_CASES:
+        found = df.where(df.path == path).select(ignore.is_ignored(df.path, patterns)).first()[0]
+        assert found == expected, (patterns, path)
+    assert df.select(ignore.is_ignored(df.path, ignore.DEFAULT_PATTERNS)).where("false").count() == 0
+    assert [r[0] for r in spark.createDataFrame([(".env",), ("pkg/__pycache__/a.pyc",), ("src/a.py",), (None,)], "path string").select(ignore.is_ignored(F.col("path"), ignore.DEFAULT_PATTERNS)).collect()] == [True, True, False, None]
