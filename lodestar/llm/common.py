@@ -29,9 +29,9 @@ def id_crc(modulus: int) -> Column:
 class Memo(dict):
     """function's results by argument, for one Python worker. Bounded: when it is full, its entries become the older
     generation, which goes at the next time; what is asked for meanwhile moves over. Results of long arguments are not
-    kept."""
+    kept. A worker outlives a stage, so the memos of several operators add up: each is kept small."""
 
-    def __init__(self, function: Callable, entries: int = 250_000, longest: int = 80):
+    def __init__(self, function: Callable, entries: int = 100_000, longest: int = 80):
         super().__init__()
         self.function, self.entries, self.longest = function, entries, longest
         self.older: dict = {}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import id_crc, map_texts
+from lodestar.llm.common import id_crc, map_texts, parts_of
 
 SYMBOLS = 64
 TRIGRAMS, BIGRAMS = SYMBOLS**3, SYMBOLS**2
@@ -181,8 +181,9 @@ def accepted(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.judge(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([y != UNDEFINED and s >= least and like for y, s, like in found], pa.bool_()))
+            for part in parts_of(batch, "text"):
+                found = shared.value.judge(part.column(at).to_pylist())
+                yield part.filter(pa.array([y != UNDEFINED and s >= least and like for y, s, like in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
