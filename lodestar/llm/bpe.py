@@ -11,7 +11,6 @@ No shuffle: each document is done where it is read, so a hot source or a group o
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from lodestar.llm.common import Memo, map_texts, texts
+from lodestar.llm.common import Memo, held, map_texts, texts
 
 #: How byte-level vocabularies of this kind cut a text before merging.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -95,10 +94,9 @@ class ForcedBoundaryBpe:
         return b"".join(map(self.bytes_of_text.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
-@functools.lru_cache(maxsize=2)
 def codec(path: str) -> ForcedBoundaryBpe:
-    """One for each worker and vocabulary."""
-    return ForcedBoundaryBpe(path)
+    """The worker's own."""
+    return held(ForcedBoundaryBpe, path)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

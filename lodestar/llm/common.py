@@ -29,7 +29,7 @@ def id_crc(modulus: int) -> Column:
 class Memo(dict):
     """function's results by argument, for one Python worker. Bounded: when it is full, its entries become the older
     generation, which goes at the next time; what is asked for meanwhile moves over. Results of long arguments are not
-    kept. A worker outlives a stage, so the memos of several operators add up: each is kept small."""
+    kept."""
 
     def __init__(self, function: Callable, entries: int = 100_000, longest: int = 80):
         super().__init__()
@@ -48,6 +48,19 @@ class Memo(dict):
         return value
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(make: Callable, *of):
+    """make(*of), kept in a Python worker until something else is asked for. A worker outlives a stage, so the tokenizers
+    and memos of all the operators that it served would add up; this way it holds those of one."""
+    key = (make, of)
+    if key not in _held:
+        _held.clear()
+        _held[key] = make(*of)
+    return _held[key]
+
+
 KINDS = {
     "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(),
     "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()),
@@ -64,6 +77,12 @@ def parts_of(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Ite
         yield batch.slice(at, rows)
 
 
+def verdicts(values: pa.Array, judge: Callable[[list], Iterable[bool]]) -> pa.Array:
+    """judge's answers for the texts of an Arrow column, slice by slice."""
+    whole = pa.RecordBatch.from_arrays([values], names=["text"])
+    return pa.array([x for part in parts_of(whole, "text") for x in judge(part.column(0).to_pylist())], pa.bool_())
+
+
 def map_texts(df: DataFrame, schema: str, rows: Callable[[list, list], Iterable[tuple]], first: str = "doc_id", second: str = "text") -> DataFrame:
     """df's (first, second) columns through rows(), batch by batch; no shuffle. schema: names and types of KINDS."""
     fields = [(n, KINDS[k]) for n, k in (x.split(" ", 1) for x in schema.split(", "))]

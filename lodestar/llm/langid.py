@@ -18,14 +18,13 @@ sample's texts of that language, or for the share that all but a hundredth of th
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import id_crc, map_texts, parts_of
+from lodestar.llm.common import id_crc, map_texts, verdicts
 
 SYMBOLS = 64
 TRIGRAMS, BIGRAMS = SYMBOLS**3, SYMBOLS**2
@@ -177,15 +176,12 @@ def accepted(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
     """The rows of docs, all columns, whose language is identified with a score of least or more and that are like the
     sample's texts of that language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts_of(batch, "text"):
-                found = shared.value.judge(part.column(at).to_pylist())
-                yield part.filter(pa.array([y != UNDEFINED and s >= least and like for y, s, like in found], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def known(values: pa.Array) -> pa.Array:
+        return verdicts(values, lambda part: [y != UNDEFINED and s >= least and like for y, s, like in shared.value.judge(part)])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(known("text"))
 
 
 def training_rows(docs: DataFrame, fold: Column | None = None) -> DataFrame:

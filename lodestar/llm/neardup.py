@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Memo, discard, map_texts, stored
+from lodestar.llm.common import Memo, discard, held, map_texts, stored
 
 BANDS, BAND_ROWS = 40, 6
 REGISTERS = BANDS * BAND_ROWS
@@ -39,8 +39,6 @@ OFFSETS = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 #: Odd multipliers for mixing.
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
-_hash = Memo(xxhash.xxh3_64_intdigest)
-
 
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * C
@@ -51,7 +49,7 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of so many words; of all words if there are fewer. Letters A to Z are
     lowered, words end at ASCII white space."""
     found = text.encode("utf-8", "replace").lower().split()
-    h = np.fromiter(map(_hash.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(held(Memo, xxhash.xxh3_64_intdigest).__getitem__, found), np.uint64, len(found))
     k = min(words, len(h))
     if not k:
         return h

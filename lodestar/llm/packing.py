@@ -13,7 +13,6 @@ Ties between pieces of one length go by (doc_id, start, checksum).
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import unicodedata
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestar.llm.bpe import byte_characters
-from lodestar.llm.common import Memo, map_texts, stored, texts
+from lodestar.llm.common import Memo, held, map_texts, stored, texts
 
 # How vocabularies of this kind cut a lower-case text.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -73,9 +72,8 @@ class WordBpe:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> WordBpe:
-    return WordBpe(path)
+    return held(WordBpe, path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:

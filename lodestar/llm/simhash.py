@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Memo, parts_of, stored, texts
+from lodestar.llm.common import Memo, held, parts_of, stored, texts
 
 WORDS, BITS, LONG_WORD, RUN = 3, 128, 32, 5
 #: +1 for each set bit of a byte, -1 for each clear one, highest bit first.
@@ -35,7 +35,9 @@ VOTES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np
 #: Odd multipliers that mix words into terms.
 MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93)]
 
-_hash = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")))
+
+def hash_of(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
 
 
 def scrambled(h: np.ndarray, by: np.uint64) -> np.ndarray:
@@ -48,7 +50,7 @@ def terms(text: str) -> np.ndarray:
     words = text.lower().split()
     if any(len(w) > LONG_WORD for w in words):
         words = [x for w in words for x in ([w] if len(w) <= LONG_WORD else [w[i : i + RUN] for i in range(len(w) - RUN + 1)])]
-    h = np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(held(Memo, hash_of).__getitem__, words), np.uint64, len(words))
     k = min(WORDS, len(h))
     if not k:
         return h

@@ -15,7 +15,6 @@ pre-tokens: whole. Empty table: no rows.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_texts, parts_of, stored, texts
+from lodestar.llm.common import held, map_texts, parts_of, stored, texts
 
 MARK = "▁"
 
@@ -48,9 +47,8 @@ class Pieces:
         return [1 if p == MARK else len(x) for p, x in zip(pre_tokens, ids)]
 
 
-@functools.lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return held(Pieces, path)
 
 
 def pre_token_table(docs: DataFrame, path: str, entries: int = 400_000) -> DataFrame:

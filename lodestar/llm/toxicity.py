@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Memo, map_texts, parts_of, texts
+from lodestar.llm.common import Memo, held, map_texts, texts, verdicts
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -44,13 +44,12 @@ def sentences(text: str) -> Iterator[dict[str, None]]:
 
 
 class ToxicityModel:
-    """weights of hashed features and a bias; a worker keeps the words' weights in a memo."""
+    """weights of hashed features and a bias; a worker holds the words' weights in a memo."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
-        self.words = self._memo()
 
-    def _memo(self) -> Memo:
+    def words(self) -> Memo:
         of = self.weights.tolist()  # single values of a list come faster than those of an array
         return Memo(lambda w: sum([of[i] for i in features(w)]))
 
@@ -59,7 +58,7 @@ class ToxicityModel:
 
     def logits(self, text: str) -> np.ndarray:
         """Of the sentences with words, in order."""
-        of = self.words.__getitem__
+        of = held(self.words).__getitem__
         return np.array([sum(map(of, words)) for words in sentences(text)], np.float64) + self.bias
 
     def score(self, text: str | None) -> float:
@@ -126,13 +125,13 @@ def fit_calibrated(rows: list[tuple[str, int]], least: int = 40) -> ToxicityMode
     five times the rate of false alarms is best, in the middle of equally good places. With fewer than least rows of a
     label in that fifth, the bias stays."""
     fold = [crc32((t or "").encode()) % 5 for t, _ in rows]  # copies are in one fold
-    held = [r for r, k in zip(rows, fold) if k == 0]
+    last = [r for r, k in zip(rows, fold) if k == 0]
     model = fit([r for r, k in zip(rows, fold) if k])
-    toxic = np.array([y for _, y in held]) == 1
+    toxic = np.array([y for _, y in last]) == 1
     if min(toxic.sum(), (~toxic).sum()) < least:
         return model
     shifts = np.arange(-1.0, 4.01, 0.1)
-    logits = [model.logits(t) for t, _ in held]
+    logits = [model.logits(t) for t, _ in last]
     flagged = np.array([[np.logaddexp(0, z + s).sum() >= np.log(2) for s in shifts] for z in logits])
     gain = flagged[toxic].mean(axis=0) - 5 * flagged[~toxic].mean(axis=0)
     model.bias += float(np.median(shifts[gain >= gain.max() - 1e-9]))
@@ -183,11 +182,9 @@ def locate(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFra
 def clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of docs, all columns, that are not predicted toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts_of(batch, "text"):
-                yield part.filter(pa.array([shared.value.score(t) < 0.5 for t in part.column(at).to_pylist()], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def harmless(values: pa.Array) -> pa.Array:
+        return verdicts(values, lambda part: [shared.value.score(t) < 0.5 for t in part])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(harmless("text"))
