@@ -45,7 +45,7 @@ class WordBpe:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.shown, self.piece = self.tokenizer.model, byte_characters(), regex.compile(PIECE)
-        self.pieces = Memo(self._merge)
+        self.pieces = Memo(self._merge, entries=250_000)  # what a miss costs most
         with open(path, encoding="utf-8") as f:
             self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.words = Memo(self.word)
