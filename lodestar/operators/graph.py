@@ -114,13 +114,23 @@ def render(found: DataFrame, edges: DataFrame) -> DataFrame:
 
 def resolve_calls(sites: DataFrame, bindings: DataFrame, index: DataFrame) -> DataFrame:
     """Call edges of (file, caller, target): the imported name by the last segment of its module, then by the whole one.
-    bindings: file, local_name, module, orig_name; index: module, simple_module, name, file."""
-    unique = lambda key: index.groupBy(key, "name").agg(F.min("file").alias("dst")).select(F.col(key).alias("m"), F.col("name").alias("orig_name"), "dst")
-    named = sites.join(bindings, (sites["file"] == bindings["file"]) & (sites["target"] == bindings["local_name"])).select(sites["file"], "caller", "module", "orig_name")
-    short, full = unique("simple_module").withColumnsRenamed({"m": "last", "dst": "dst_short"}), unique("module").withColumnsRenamed({"m": "module", "dst": "dst_full"})
-    both = named.withColumn("last", F.element_at(F.split("module", r"\."), -1)).join(short, ["last", "orig_name"], "left").join(full, ["module", "orig_name"], "left")
-    dst = F.coalesce("dst_short", "dst_full")
-    return both.where(dst.isNotNull()).select(F.col("file").alias("src_file"), F.col("caller").alias("src_func"), dst.alias("dst_file"), F.col("orig_name").alias("dst_func")).distinct()
+    bindings: file, local_name, module, orig_name; index: module, simple_module, name, file. Rows may repeat.
+
+    Many sites share a (file, target), so each of those is resolved once, to numbers of the functions that it may mean. Sites
+    are dealt by caller, who unites the numbers; only the edges themselves become rows. Small tables are written, so that
+    their real size decides on the joins."""
+    unique = lambda key, short: index.groupBy(F.col(key).alias("m"), "name").agg(F.min("file").alias("dst")).withColumn("short", F.lit(short))
+    found = unique("simple_module", True).unionByName(unique("module", False)).where("dst is not null")
+    # a number for each function: of the written table, so it is the same at every read
+    numbered = written(found.groupBy("dst", "name").agg(F.collect_list(F.struct("m", "short")).alias("keys")).withColumn("id", F.monotonically_increasing_id()), "functions")
+    keys = numbered.select(F.col("name").alias("orig_name"), "id", F.explode("keys").alias("key"))
+    by = lambda short, m: keys.where(F.col("key.short") == short).select(F.col("key.m").alias(m), "orig_name", F.col("id").alias(f"by_{m}"))
+    looked_up = bindings.withColumn("last", F.element_at(F.split("module", r"\."), -1)).join(by(True, "last"), ["last", "orig_name"], "left").join(by(False, "module"), ["module", "orig_name"], "left")
+    meant = looked_up.select("file", F.col("local_name").alias("target"), F.coalesce("by_last", "by_module").alias("id")).where("id is not null").distinct()
+    meant = written(meant.groupBy("file", "target").agg(F.array_sort(F.collect_list("id")).alias("ids")), "meant")
+    called = sites.repartition("file", "caller").join(meant, ["file", "target"]).groupBy("file", "caller").agg(F.collect_set("ids").alias("sets"))
+    edges = called.select(F.col("file").alias("src_file"), F.col("caller").alias("src_func"), F.explode(F.array_distinct(F.flatten("sets"))).alias("id"))
+    return edges.join(numbered.select("id", F.col("dst").alias("dst_file"), F.col("name").alias("dst_func")), "id").drop("id")
 
 
 def resolve_first(sites: DataFrame, index: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def sites(spark, d):
     part = lambda p, c, n: F.concat(F.lit(p), (F.col(c) % n).cast("string"))
     own = table(spark, d, "orders").select(part("f", "o_custkey", 97).alias("file"), F.concat(F.lit("c"), "o_custkey").alias("caller"), part("l", "o_orderkey", 41).alias("target"))
     dotted = F.concat(part("m", "l_partkey", 7), F.lit("."), part("n", "l_partkey", 13))
-    bindings = table(spark, d, "lineitem").select(part("f", "l_suppkey", 97).alias("file"), part("l", "l_orderkey", 41).alias("local_name"), dotted.alias("module"), part("p", "l_partkey", 29).alias("orig_name")).distinct()
+    bindings = table(spark, d, "lineitem").select(part("f", "l_suppkey", 97).alias("file"), part("l", "l_orderkey", 41).alias("local_name"), dotted.alias("module"), part("p", "l_partkey", 29).alias("orig_name"))
     module = F.when(F.col("p_size") % 2 == 0, F.concat(part("m", "p_partkey", 7), F.lit("."), part("n", "p_partkey", 13))).otherwise(part("x", "p_partkey", 11))
     simple = F.when(F.col("p_size") % 3 == 0, part("n", "p_partkey", 13)).otherwise(part("z", "p_partkey", 5))
     index = table(spark, d, "part").select(module.alias("module"), simple.alias("simple_module"), part("p", "p_partkey", 29).alias("name"), F.concat(F.lit("src/"), "p_brand", F.lit("/"), (F.col("p_partkey") % 19).cast("string"), F.lit(".py")).alias("file"))
@@ -159,8 +159,7 @@ SELECT DISTINCT s.file AS src_file, caller AS src_func, coalesce(short.f, long.f
 LEFT JOIN short ON short.simple_module = split_part(b.module, '.', 2) AND short.name = orig_name LEFT JOIN long ON long.module = b.module AND long.name = orig_name WHERE coalesce(short.f, long.f) IS NOT NULL""")
 def resolve_calls(spark, d):
     own, bindings, index = sites(spark, d)
-    # many sites share a (file, target): resolve each once
-    return graph.resolve_calls(own.distinct(), bindings, index)
+    return graph.resolve_calls(own, bindings, index)
 
 
 @query("WITH" + SITES[1:] + """, want AS (SELECT DISTINCT file, caller, 'p' || (o % 29) AS target, 'Brand#' || (1 + o % 5) AS package FROM (SELECT 'f' || (o_custkey % 97) AS file, 'c' || o_custkey AS caller, o_orderkey AS o FROM orders))

@@ -222,3 +222,35 @@ def test_ignore_patterns(spark):
         assert found == expected, (patterns, path)
     assert df.select(ignore.is_ignored(df.path, ignore.DEFAULT_PATTERNS)).where("false").count() == 0
     assert [r[0] for r in spark.createDataFrame([(".env",), ("pkg/__pycache__/a.pyc",), ("src/a.py",), (None,)], "path string").select(ignore.is_ignored(F.col("path"), ignore.DEFAULT_PATTERNS)).collect()] == [True, True, False, None]
+
+
+def most_rows(df) -> int:
+    """The most rows that an operator of df's plan gave, once it has run."""
+
+    def walk(plan) -> int:
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        if plan.nodeName().endswith("QueryStage"):
+            return walk(plan.plan())
+        own, below = plan.metrics().get("numOutputRows"), plan.children()
+        return max([own.get().value() if own.isDefined() else 0, *(walk(below.apply(i)) for i in range(below.size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_calls_of_shared_targets_are_resolved_once(spark):
+    sites = spark.range(300).selectExpr("'a.py' file", "concat('f', id) caller", "'t' target")
+    modules = spark.range(301).selectExpr("concat('p', id, '.m') module", "'m' simple_module", "'g' name", "'m.py' file")
+    bindings = modules.selectExpr("'a.py' file", "'t' local_name", "module", "name orig_name")
+    found = graph.resolve_calls(sites, bindings, modules)
+    assert sorted(map(tuple, found.collect())) == sorted(("a.py", f"f{i}", "m.py", "g") for i in range(300))
+    assert 300 <= most_rows(found) <= 1000  # not a row for each site and binding
+
+
+def test_calls_by_short_and_whole_modules_with_nulls_and_repeats(spark):
+    sites = spark.createDataFrame([("a", "f", "t"), ("a", "f", "t"), ("a", "f", "u"), ("a", None, "t"), (None, "f", "t"), ("a", "g", "none")], "file string, caller string, target string")
+    bound = [("a", "t", "p.m", "h"), ("a", "t", "p.m", "h"), ("a", "u", "q.m", "h"), ("a", "u", "q.k", "h"), ("a", "t", "q.x", "k"), ("a", "t", None, "h"), ("a", "u", "p.m", None), (None, "t", "p.m", "h")]
+    bindings = spark.createDataFrame(bound, "file string, local_name string, module string, orig_name string")
+    index = [("p.m", "m", "h", "2.py"), ("q.m", "m", "h", "1.py"), ("q.k", "z", "h", "3.py"), ("q.k", "z", "h", "4.py"), ("q.x", "x", "k", None), (None, None, "h", "0.py"), ("p.m", "m", None, "0.py")]
+    found = graph.resolve_calls(sites, bindings, spark.createDataFrame(index, "module string, simple_module string, name string, file string"))
+    assert sorted(map(tuple, found.collect()), key=str) == [("a", "f", "1.py", "h"), ("a", "f", "3.py", "h"), ("a", None, "1.py", "h")]
