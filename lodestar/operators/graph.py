@@ -135,9 +135,14 @@ def resolve_calls(sites: DataFrame, bindings: DataFrame, index: DataFrame) -> Da
 
 def resolve_first(sites: DataFrame, index: DataFrame) -> DataFrame:
     """Call edges of (file, caller, package, target): the first file (by name) that has the target and whose path
-    contains the package. An equi-join on the name with the rest as a condition."""
-    joined = sites.join(index.select(F.col("name").alias("target"), F.col("file").alias("dst_file")), "target").where(F.contains("dst_file", F.col("package")))
-    return joined.groupBy(F.col("file").alias("src_file"), F.col("caller").alias("src_func"), F.col("target").alias("dst_func"), "package").agg(F.min("dst_file").alias("dst_file")).drop("package").distinct()
+    contains the package. Each (package, target) is resolved once, by an equi-join on the name with the rest as a condition.
+    Rows may repeat."""
+    held = index.select(F.col("name").alias("target"), F.col("file").alias("dst_file")).distinct()
+    wanted = sites.select("package", "target").distinct()
+    fitting = wanted.join(held, "target").where(F.contains("dst_file", F.col("package")))
+    # written, so that its real size decides on the join
+    first = written(fitting.groupBy("package", "target").agg(F.min("dst_file").alias("dst_file")), "first")
+    return sites.join(first, ["package", "target"]).select(F.col("file").alias("src_file"), F.col("caller").alias("src_func"), F.col("target").alias("dst_func"), "dst_file").distinct()
 
 
 def patch(edges: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:

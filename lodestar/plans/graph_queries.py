@@ -167,8 +167,8 @@ SELECT DISTINCT w.file AS src_file, caller AS src_func, target AS dst_func, dst_
 def resolve_theta_first(spark, d):
     _, _, index = sites(spark, d)
     o = F.col("o_orderkey")
-    want = table(spark, d, "orders").select(F.concat(F.lit("f"), (F.col("o_custkey") % 97).cast("string")).alias("file"), F.concat(F.lit("c"), "o_custkey").alias("caller"), F.concat(F.lit("p"), (o % 29).cast("string")).alias("target"), F.concat(F.lit("Brand#"), (1 + o % 5).cast("string")).alias("package")).distinct()
-    return graph.resolve_first(want, index.distinct())
+    want = table(spark, d, "orders").select(F.concat(F.lit("f"), (F.col("o_custkey") % 97).cast("string")).alias("file"), F.concat(F.lit("c"), "o_custkey").alias("caller"), F.concat(F.lit("p"), (o % 29).cast("string")).alias("target"), F.concat(F.lit("Brand#"), (1 + o % 5).cast("string")).alias("package"))
+    return graph.resolve_first(want, index)
 
 
 @query(WITH + """, gone AS (SELECT DISTINCT src_file FROM back_edge WHERE src_file < 'nation/NATION_2')

@@ -254,3 +254,18 @@ def test_calls_by_short_and_whole_modules_with_nulls_and_repeats(spark):
     index = [("p.m", "m", "h", "2.py"), ("q.m", "m", "h", "1.py"), ("q.k", "z", "h", "3.py"), ("q.k", "z", "h", "4.py"), ("q.x", "x", "k", None), (None, None, "h", "0.py"), ("p.m", "m", None, "0.py")]
     found = graph.resolve_calls(sites, bindings, spark.createDataFrame(index, "module string, simple_module string, name string, file string"))
     assert sorted(map(tuple, found.collect()), key=str) == [("a", "f", "1.py", "h"), ("a", "f", "3.py", "h"), ("a", None, "1.py", "h")]
+
+
+def test_first_files_of_shared_targets_are_found_once(spark):
+    sites = spark.range(300).selectExpr("'a.py' file", "concat('f', id) caller", "'t' target", "'lib' package")
+    index = spark.range(1, 301).selectExpr("'t' name", "concat('lib', id, '.py') file")
+    found = graph.resolve_first(sites, index)
+    assert sorted(map(tuple, found.collect())) == sorted(("a.py", f"f{i}", "t", "lib1.py") for i in range(300))
+    assert 300 <= most_rows(found) <= 1000  # not a row for each site and file
+
+
+def test_first_files_with_nulls_and_repeats(spark):
+    sites = [("a", "f", "t", "x"), ("a", "f", "t", "x"), ("a", "f", "t", "y"), ("a", "f", "t", "1"), ("a", None, "t", ""), (None, "f", "t", "y"), ("a", "g", "t", None), ("a", "g", None, "x"), ("a", "g", "u", "x")]
+    index = [("t", "y/1"), ("t", "x/2"), ("t", "x/2"), ("t", "x/1"), ("t", None), (None, "x/0"), ("u", "y/0")]
+    found = graph.resolve_first(spark.createDataFrame(sites, "file string, caller string, target string, package string"), spark.createDataFrame(index, "name string, file string"))
+    assert sorted(map(tuple, found.collect()), key=str) == [("a", "f", "t", "x/1"), ("a", "f", "t", "y/1"), ("a", None, "t", "x/1"), (None, "f", "t", "y/1")]
