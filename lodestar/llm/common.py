@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,3 +96,25 @@ def map_texts(df: DataFrame, schema: str, rows: Callable[[list, list], Iterable[
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
     return df.select(first, second).mapInArrow(run, schema)
+
+
+def sieve(found: DataFrame, most_bits: int = 27) -> Callable[[Column], Column]:
+    """A test of a column of 64-bit hashes: true for all hashes of found (its only column) and for about one of a hundred
+    others. What fails it matches nothing and needs no shuffle; an exact join decides on the rest. All workers get a bitmap of
+    16 to 32 bits a hash, two of them set; at most 16 MB, beyond four million hashes more others pass."""
+    spark, h = found.sparkSession, F.col(found.columns[0])
+    bits = min(most_bits, max(10, (16 * found.count()).bit_length()))
+    place = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1))
+    places = found.select(F.explode(F.array(place(0), place(32))).alias("place"))
+    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 AS int)))").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def maybe(values: pa.Array) -> pa.Array:
+        h, six, one = values.to_numpy(zero_copy_only=False).view(np.uint64), np.uint64(6), np.uint64(1)
+        hits = [(shared.value[p >> six] >> (p & np.uint64(63))) & one for p in (x & np.uint64((1 << bits) - 1) for x in (h, h >> np.uint64(32)))]
+        return pa.array((hits[0] & hits[1]).astype(bool))
+
+    return maybe

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Memo, discard, held, map_texts, stored
+from lodestar.llm.common import Memo, discard, held, map_texts, sieve, stored
 
 BANDS, BAND_ROWS = 40, 6
 REGISTERS = BANDS * BAND_ROWS
@@ -267,10 +267,13 @@ def grouped(docs: DataFrame, words: int, percent: int, row: Column | None = None
     banded = nodes.select("id", "n", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     members = stored(banded.join(stored(shared.select("key", "first"), "buckets"), "key"), "members")
-    wanted = members.select("id").distinct().join(nodes.select("id", "s1", "s2", "doc"), "id")
-    read = docs.join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = stored(members.select("id").distinct().join(nodes.select("id", "s1", "s2", "doc"), "id"), "wanted")
+    # most texts are in no bucket with others: they aren't shuffled
+    own = F.xxhash64(F.col("doc_id").cast("long"))
+    read = docs.where(sieve(wanted.select(F.xxhash64("doc")))(own)).join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = full_sets(read, words).dropDuplicates(["s1", "s2"]).join(wanted.select("s1", "s2", "id"), ["s1", "s2"])
     sets = stored(sets.select("id", "shingles"), "sets")
+    discard(wanted)
 
     sizes_fit = F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
     links = tested = None
@@ -343,9 +346,11 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     decided = rows.join(several.drop("n"), "component").groupBy("doc_id", "row").agg(F.bool_or(chosen).alias("once"), F.count("*").alias("n"))
     # names that no column of docs has
     decided = stored(decided.where("not once or n > 1").select(F.col("doc_id").alias("__id"), F.col("row").alias("__of"), "once"), "decided")
-    own = docs.withColumn("__row", row)
+    # most rows are in no group: they stay without a shuffle
+    maybe = sieve(decided.select(F.xxhash64("__id", "__of")))(F.xxhash64(F.col("doc_id").cast("long"), row))
+    own = docs.where(maybe).withColumn("__row", row)
     same = (F.col("doc_id") == F.col("__id")) & (F.col("__row") == F.col("__of"))
-    single = own.join(decided, same, "left_anti").select(docs.columns)
+    single = docs.where(~maybe).unionByName(own.join(decided, same, "left_anti").select(docs.columns))
     repeats = decided.where("once")
     if repeats.isEmpty():
         return single

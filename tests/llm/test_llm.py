@@ -18,6 +18,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lodestar.llm import bpe, htmltext, langid, media, neardup, packing, pii, simhash, tokencount, toxicity
+from lodestar.llm.common import sieve
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, score string, bucket string, key string, length string"
@@ -267,6 +268,46 @@ def test_bands_find_pairs_at_the_bound():
     assert missed == 0 and abs(equal / n - 0.8) < 0.005
 
 
+def test_texts_outside_of_groups_are_not_shuffled(spark):
+    """Of 400 texts two are copies; what is dealt out anew after the signatures is a small part of the rows."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30)), "s") for i in range(399)] + [(399, " ".join(f"w7x{k}" for k in range(30)), "s")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stay = neardup.one_of_each(docs)
+        assert sorted(map(tuple, stay.collect())) == sorted(rows[:399])
+        assert 1 <= shuffled_texts(stay) <= 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def shuffled_texts(df) -> int:
+    """Rows with a text that df's plan shuffled, once it has run."""
+
+    def walk(plan) -> int:
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        if plan.nodeName().endswith("QueryStage"):
+            return walk(plan.plan())
+        own, below = plan.metrics().get("shuffleRecordsWritten"), plan.children()
+        mine = own.get().value() if own.isDefined() and "text#" in plan.output().toString() else 0
+        return mine + sum(walk(below.apply(i)) for i in range(below.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_a_sieve_lets_all_of_its_hashes_pass(spark):
+    every = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    maybe = sieve(every.limit(0))
+    assert every.where(maybe("h")).count() == 0
+    found = spark.range(0, 20_000, 10).select(F.xxhash64("id").alias("h"))
+    for most_bits, others in ((27, 500), (12, 18_000)):
+        passed = every.where(sieve(found, most_bits)("h"))
+        assert found.join(passed, "h", "left_anti").count() == 0
+        assert passed.count() - 2000 <= others
+
+
 def test_near_duplicates_edge_cases(docs, spark):
     got = neardup.near_duplicates(docs).collect()
     assert len(got) == docs.count()
