@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Memo, discard, held, map_texts, sieve, stored
+from lodestar.llm.common import Memo, discard, held, map_texts, sieve, stored, tended
 
 BANDS, BAND_ROWS = 40, 6
 REGISTERS = BANDS * BAND_ROWS
@@ -158,7 +158,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, margin: float = 0
                     kept.append(100 * inter >= percent * (len(x) + len(y) - inter))
                 yield part.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(tended(run), "a long, b long").distinct()
 
 
 def block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
@@ -228,7 +228,7 @@ def links_in_blocks(apart: DataFrame, sets: DataFrame, percent: int, block: int
                 group[side].append((component, np.frombuffer(shingles, np.uint64)))
         yield ended()
 
-    return rows.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r").mapInArrow(tended(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:

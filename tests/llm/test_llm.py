@@ -6,10 +6,12 @@ import ipaddress
 import random
 import struct
 import time
+import weakref
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -18,7 +20,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lodestar.llm import bpe, htmltext, langid, media, neardup, packing, pii, simhash, tokencount, toxicity
-from lodestar.llm.common import sieve
+from lodestar.llm.common import release, sieve
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, score string, bucket string, key string, length string"
@@ -48,6 +50,27 @@ def test_bpe_is_the_librarys(docs):
     assert sorted(map(repr, map(tuple, back.collect()))) == sorted(repr((i, t)) for i, t in texts_of(docs))
 
 
+def test_idle_workers_give_up_what_they_hold(spark, docs):
+    def held_by(batches):
+        from lodestar.llm import common
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._held)] * batch.num_rows, pa.int64())], names=["n"])
+
+    expected = sorted(map(str, packing.pieces(docs, WORD).collect()))
+    assert toxicity.clean(docs, toxicity.ToxicityModel(np.zeros(toxicity.BUCKETS, np.float32), -6.0)).count()
+    time.sleep(2)
+    assert spark.range(0, 64, 1, 64).mapInArrow(held_by, "n long").agg(F.max("n")).first()[0] == 0
+    assert sorted(map(str, packing.pieces(docs, WORD).collect())) == expected
+
+
+def test_a_released_tokenizer_is_gone():
+    gone = weakref.ref(packing.encoder(WORD))
+    gone().encode("some words")
+    release()
+    assert gone() is None
+
+
 def test_forced_boundaries_are_in_no_token():
     own = bpe.codec(BYTE)
     parts = own.cut("naïve—text漢字".encode())
